@@ -9,9 +9,9 @@ survive: damaged lines, missing parts, counts and labels of a wrong type.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from hangstats.constants import DIMENSIONS, PREFIX_LENGTH, REPORT_REASON, THREAD_NAME
+from hangstats.sources.files import at_least_default_slices
 
 APP = "ExampleBrowser"
 
@@ -30,15 +30,15 @@ _DIMENSION_SQL = f"""
 _BIN_SQL = """case when value < 2 then 1 when value < 4 then 2 when value < 8 then 4
     when value < 16 then 8 when value < 32 then 16 when value < 64 then 32 else 64 end"""
 
-_LINE_STATE_SQL = """case when k = 91 then 'cut' when k = 92 then 'short'
-    when k in (93, 94) then 'no_threads' else 'good' end"""
+_LINE_STATE_SQL = """(case when k = 91 then 'cut' when k = 92 then 'short'
+    when k in (93, 94) then 'no_threads' else 'good' end)"""
 
 _NEEDLE = "flashVersion"
 
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``value`` and the dimension columns, one row per event."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = at_least_default_slices(spark.read.parquet(f"{sf_dir}/events.parquet"))
     base = events.selectExpr(
         "event_id",
         "event_type",
@@ -47,47 +47,45 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "hour(ts) * 60 + minute(ts) as mn",
         "cast(get_json_object(props, '$.k') as int) as k",
     )
-
-    def hang(i: int) -> str:
-        """JSON text of hang number ``i``."""
-        j = f"(k + {i})"
-        script = f"""concat('"', event_type, {j} % 20, '.js:', cast(floor(value) as int), '"')"""
-        stack = f"""case when {j} % 37 = 5 then '"stack":null,'
-            when {j} % 10 = 9 then '"stack":[],'
-            when {j} % 4 = 0 then concat('"stack":["main","IPDL::PPlugin',
-                case when {j} % 8 = 0 then 'Module' else 'Instance' end, '::Msg",', {script}, '],')
-            when {j} % 7 = 3 then
-                '"stack":["main","chrome://ui.js:10:5","IPDL::PPluginInstance::Call"],'
-            else concat('"stack":["main",', {script}, '],') end"""
-        first = f"""concat('"', {_BIN_SQL}, '":',
-            case when {j} % 29 = 4 then 0 else 1 + k % 3 end)"""
-        bins = f"""array_join(array({first},
-            {"'" + '"128":2' + "'" if i > 0 else 'null'},
-            case when {j} % 7 = 0 then '"1024":"bad"' end,
-            case when {j} % 17 = 0 then '"2048":2.5' end,
-            case when {j} % 11 = 0 then '"256":-1' end,
-            case when {j} % 13 = 0 then '"abc":1' end), ',')"""
-        histogram = f"""case when {j} % 41 = 6 then '"histogram":{{}}'
-            else concat('"histogram":{{"values":{{', {bins}, '}}}}') end"""
-        return f"concat('{{', {stack}, {histogram}, '}}')"
-
-    # k % 4 hangs in the first entry of the thread, one more entry for a purchase.
-    listed = ", ".join(f"case when k % 4 > {i} then {hang(i)} end" for i in range(3))
-    threads = f"""array_join(array(
-        '{{"name":"Compositor","hangs":[{{"stack":["x"],"histogram":{{"values":{{"1":100}}}}}}]}}',
-        concat('{{"name":"{THREAD_NAME}","hangs":[', array_join(array({listed}), ','), ']}}'),
+    # JSON text of hang number i: 0 to 2 belong to the first entry of the
+    # thread (k % 4 of them), 3 to the additional entry of a purchase.
+    script = """concat('"', event_type, (k + i) % 20, '.js:', cast(floor(value) as int), '"')"""
+    stack = f"""case when (k + i) % 37 = 5 then '"stack":null,'
+        when (k + i) % 10 = 9 then '"stack":[],'
+        when (k + i) % 4 = 0 then concat('"stack":["main","IPDL::PPlugin',
+            case when (k + i) % 8 = 0 then 'Module' else 'Instance' end, '::Msg",', {script}, '],')
+        when (k + i) % 7 = 3 then
+            '"stack":["main","chrome://ui.js:10:5","IPDL::PPluginInstance::Call"],'
+        else concat('"stack":["main",', {script}, '],') end"""
+    bins = f"""concat(
+        '"', {_BIN_SQL}, '":', case when (k + i) % 29 = 4 then 0 else 1 + k % 3 end,
+        case when i > 0 then ',"128":2' else '' end,
+        case when (k + i) % 7 = 0 then ',"1024":"bad"' else '' end,
+        case when (k + i) % 17 = 0 then ',"2048":2.5' else '' end,
+        case when (k + i) % 11 = 0 then ',"256":-1' else '' end,
+        case when (k + i) % 13 = 0 then ',"abc":1' else '' end)"""
+    hang = f"""concat('{{', {stack}, case when (k + i) % 41 = 6 then '"histogram":{{}}'
+        else concat('"histogram":{{"values":{{', {bins}, '}}}}') end, '}}')"""
+    hangs = f"""transform(array(0, 1, 2, 3), i -> case
+        when i < k % 4 or (i = 3 and event_type = 'purchase') then {hang} end) as hangs"""
+    threads = f"""concat(
+        '[{{"name":"Compositor","hangs":[{{"stack":["x"],"histogram":{{"values":{{"1":100}}}}}}]}},',
+        '{{"name":"{THREAD_NAME}","hangs":[', array_join(slice(hangs, 1, 3), ','), ']}}',
         case when event_type = 'purchase' then
-            concat('{{"name":"{THREAD_NAME}","hangs":[', {hang(3)}, ']}}') end), ',')"""
-    body = f"""concat('{{"simpleMeasurements":{{"uptime":',
+            concat(',{{"name":"{THREAD_NAME}","hangs":[', hangs[3], ']}}') else '' end, ']')"""
+    line = f"""concat(lpad(cast(event_id as string), {PREFIX_LENGTH - 1}, '0'), '\t',
+        '{{"simpleMeasurements":{{"uptime":',
         case when k between 40 and 44 then '"n/a"' when k = 45 then '1.5'
              else cast(mn as string) end,
         '}}', case when k < 60 then ',"info":{{"{_NEEDLE}":"15.0"}}' else '' end,
-        ',"threadHangStats":',
-        case k when 93 then 'null' when 94 then '{{}}' else concat('[', {threads}, ']') end, '}}')"""
-    line = f"concat(lpad(cast(event_id as string), {PREFIX_LENGTH - 1}, '0'), '\\t', {body})"
-    value = f"""case {_LINE_STATE_SQL} when 'cut' then substring({line}, 1, 60)
-        when 'short' then 'short' else {line} end as value"""
-    return base.selectExpr(value, *_split_columns(_DIMENSION_SQL))
+        ',"threadHangStats":', case k when 93 then 'null' when 94 then '{{}}' else {threads} end,
+        '}}') as line"""
+    value_sql = f"""case {_LINE_STATE_SQL} when 'cut' then substring(line, 1, 60)
+        when 'short' then 'short' else line end as text"""
+    built = base.selectExpr("*", hangs).selectExpr("*", line).selectExpr("*", value_sql)
+    # A generator, so that predicates on a line stay above its construction,
+    # as they would above a file scan.
+    return built.selectExpr("explode_outer(array(text)) as value", *_split_columns(_DIMENSION_SQL))
 
 
 def _split_columns(sql: str) -> list[str]:

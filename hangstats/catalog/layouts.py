@@ -14,13 +14,13 @@ _written: dict[tuple[str, str, str], str] = {}
 
 
 def write_text_layout(lines: DataFrame, root: str) -> None:
-    """Gzip text files below dimension directories.
+    """Gzip text files below dimension directories."""
+    _placed(lines).write.partitionBy(*DIMENSIONS).option("compression", "gzip").text(root)
 
-    ``rebalance`` gathers a directory's lines, and splits those of a large one.
-    """
-    lines.hint("rebalance", *DIMENSIONS).write.partitionBy(*DIMENSIONS).option(
-        "compression", "gzip"
-    ).text(root)
+
+def _placed(lines: DataFrame) -> DataFrame:
+    """Few directories per task; ranges split a directory with many lines."""
+    return lines.select("value", *DIMENSIONS).repartitionByRange(*DIMENSIONS, "value")
 
 
 def lzma_writer(root: str, columns: list[str], dimensions: list[str]) -> Callable:
@@ -72,8 +72,7 @@ def lzma_writer(root: str, columns: list[str], dimensions: list[str]) -> Callabl
 def write_lzma_layout(lines: DataFrame, root: str) -> int:
     """LZMA line files below dimension directories; returns how many."""
     columns = ["value", *DIMENSIONS]
-    placed = lines.select(*columns).hint("rebalance", *DIMENSIONS)
-    ordered = placed.sortWithinPartitions(*DIMENSIONS)
+    ordered = _placed(lines).sortWithinPartitions(*DIMENSIONS)
     return ordered.mapInArrow(
         lzma_writer(root, columns, list(DIMENSIONS)), "path string"
     ).count()

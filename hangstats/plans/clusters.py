@@ -19,13 +19,13 @@ def stack_counts(reports: DataFrame) -> DataFrame:
 
     Grouped by the whole stack, so the stacks of a hot frame spread over tasks.
     """
-    hangs = hang_rows(reports).select(
+    hangs = hang_rows(reports).where(F.size("stack") > 0)
+    rows = hangs.select(
         normalize_frames("stack").alias("stack"), hang_weight("bins").alias("weight")
-    )
-    usable = hangs.where((F.size("stack") > 0) & (F.col("weight") > 0))
-    return weighted_counts(
-        usable.select(last_frame("stack").alias("frame"), "stack", "weight"), "frame", "stack"
-    )
+    ).select(last_frame("stack").alias("frame"), "stack", "weight")
+    # Weightless stacks go after the sums: a filter on the weight would be
+    # pushed down and compute it twice.
+    return weighted_counts(rows, "frame", "stack").where(F.col("n") > 0)
 
 
 def frame_counts(stacks: DataFrame) -> DataFrame:

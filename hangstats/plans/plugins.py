@@ -133,9 +133,9 @@ def plugin_frames(reports: DataFrame, prefix: str = PLUGIN_PREFIX) -> DataFrame:
 
 def plugin_stack_counts(reports: DataFrame, prefix: str = PLUGIN_PREFIX) -> DataFrame:
     """``(stack, n)`` over plugin hangs with a usable duration."""
-    hangs = hang_rows(reports).select("stack", hang_moments("bins")["n"].alias("weight"))
-    plugin = hangs.where((F.col("weight") > 0) & has_frame_prefix("stack", prefix))
-    return weighted_counts(plugin, "stack")
+    hangs = hang_rows(reports).where(has_frame_prefix("stack", prefix))
+    rows = hangs.select("stack", hang_moments("bins")["n"].alias("weight"))
+    return weighted_counts(rows, "stack").where(F.col("n") > 0)
 
 
 def top_plugin_stacks(

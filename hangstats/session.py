@@ -14,7 +14,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Compressed files are handed to Python one file at a time.
+    # A repeated key costs its earlier values, not the whole report.
+    "spark.sql.variant.allowDuplicateKeys": "true",
+    # Bounds what the LZMA decoder gets at once; one file may exceed it.
     "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
 }
 

@@ -27,6 +27,12 @@ def read_slices(files: int, default_parallelism: int) -> int:
     return max(files // FILES_PER_SLICE, default_parallelism)
 
 
+def at_least_default_slices(frame: DataFrame) -> DataFrame:
+    """Deal the rows of a small scan to all cores; a larger one stays as it is."""
+    wanted = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(wanted) if frame.rdd.getNumPartitions() < wanted else frame
+
+
 def _scan(spark: SparkSession, root: str, compressed: bool, contents: bool = True) -> DataFrame:
     """Files with their dimensions; the schema is given so that these stay text."""
     dimensions = [f"`{name}` string" for name in DIMENSIONS]
@@ -139,15 +145,15 @@ def read_lines(
     selection: PingFilter | None = None,
     fraction: float = 1.0,
     compressed: bool = True,
-    spread: int | None = None,
+    spread: bool = False,
 ) -> DataFrame:
     """Lines of the selected report files in ``value``, plus the dimensions.
 
     ``compressed`` reads ``.lzma`` and ``.xz`` files, otherwise plain text or
-    any codec Spark knows by file ending. LZMA files cannot be split: where a
-    few large ones are selected, ``spread`` deals their lines to that many
-    tasks, e.g. :func:`read_slices`. A selection without a match warns and is
-    empty; errors while listing or reading are raised.
+    any codec Spark knows by file ending. LZMA files cannot be split: where few
+    large ones are selected, ``spread`` deals their lines to
+    :func:`read_slices` tasks. A selection without a match warns and is empty;
+    errors while listing or reading are raised.
     """
     scan = _scan(spark, root, compressed)
     catalog = file_catalog(spark, root, selection, compressed)
@@ -156,9 +162,13 @@ def read_lines(
         if catalog.isEmpty():
             warnings.warn("no report file matches the selection", stacklevel=2)
     if fraction < 1.0:
-        scan = scan.where(within_prefix(catalog, fraction))
+        kept_files = within_prefix(catalog, fraction)
+        scan, catalog = scan.where(kept_files), catalog.where(kept_files)
     if compressed:
         lines = decode_lines(scan.select("content", *DIMENSIONS))
     else:
         lines = scan.select("value", *DIMENSIONS)
-    return lines.repartition(spread) if spread else lines
+    if not spread:
+        return lines
+    slices = read_slices(catalog.count(), spark.sparkContext.defaultParallelism)
+    return lines.repartition(slices)
