@@ -34,7 +34,14 @@ def lines_frame(spark, texts):
 
 
 def final_plan(frame):
-    """Run a frame and return the text of the plan that ran."""
+    """Run a frame and return the text of the plan that ran, subqueries included."""
     frame.collect()
-    text = frame._jdf.queryExecution().executedPlan().toString()
-    return text.split("== Initial Plan ==")[0]
+    kept, skipped_from = [], None
+    for line in frame._jdf.queryExecution().executedPlan().toString().splitlines():
+        start = len(line) - len(line.lstrip(" :+-"))
+        if skipped_from is not None and start >= skipped_from:
+            continue
+        skipped_from = start if "== Initial Plan ==" in line else None
+        if skipped_from is None:
+            kept.append(line)
+    return "\n".join(kept)
