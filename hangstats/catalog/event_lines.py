@@ -9,6 +9,7 @@ survive: damaged lines, missing parts, counts and labels of a wrong type.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hangstats.constants import DIMENSIONS, PREFIX_LENGTH, REPORT_REASON, THREAD_NAME
 from hangstats.sources.files import at_least_default_slices
@@ -19,7 +20,7 @@ APP = "ExampleBrowser"
 _DIMENSION_SQL = f"""
     case when event_type = 'signup' then 'idle-daily' else '{REPORT_REASON}' end as reason,
     '{APP}' as appName,
-    case when k < 50 then 'nightly' when k < 80 then 'aurora' else 'beta' end as appUpdateChannel,
+    case when k < 50 then 'nightly' when k < 80 then 'release' else 'beta' end as appUpdateChannel,
     case when k >= 80 then '34.0' when k >= 50 then '35.0a2'
          when d < '20240111' then '35.0a1' else '36.0a1' end as appVersion,
     concat(substring(d, 1, 6), case when substring(d, 7, 2) < '16' then '01' else '16' end,
@@ -36,10 +37,16 @@ _LINE_STATE_SQL = """(case when k = 91 then 'cut' when k = 92 then 'short'
 _NEEDLE = "flashVersion"
 
 
-def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``value`` and the dimension columns, one row per event."""
-    events = at_least_default_slices(spark.read.parquet(f"{sf_dir}/events.parquet"))
+def event_lines(spark: SparkSession, sf_dir: str, numbered: bool = False) -> DataFrame:
+    """``value`` and the dimension columns, one row per event.
+
+    ``numbered`` adds ``row``, the position in the table's file: unlike a number
+    given to a row by a task, a repeated task gives the same one.
+    """
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = at_least_default_slices(table.select("*", F.col("_metadata.row_index").alias("row")))
     base = events.selectExpr(
+        "row",
         "event_id",
         "event_type",
         "value",
@@ -85,7 +92,8 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = base.selectExpr("*", hangs).selectExpr("*", line).selectExpr("*", value_sql)
     # A generator, so that predicates on a line stay above its construction,
     # as they would above a file scan.
-    return built.selectExpr("explode_outer(array(text)) as value", *_split_columns(_DIMENSION_SQL))
+    kept = _split_columns(_DIMENSION_SQL) + (["row"] if numbered else [])
+    return built.selectExpr("explode_outer(array(text)) as value", *kept)
 
 
 def _split_columns(sql: str) -> list[str]:

@@ -1,10 +1,11 @@
-"""Report files written from a lines frame, as input of the file scans."""
+"""Report files written from numbered event lines, as input of the file scans."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hangstats.catalog.event_lines import event_lines
 from hangstats.constants import DIMENSIONS
@@ -19,8 +20,12 @@ def write_text_layout(lines: DataFrame, root: str) -> None:
 
 
 def _placed(lines: DataFrame) -> DataFrame:
-    """Few directories per task; ranges split a directory with many lines."""
-    return lines.select("value", *DIMENSIONS).repartitionByRange(*DIMENSIONS, "value")
+    """Few directories per task; ranges split a directory with many lines.
+
+    The row number keeps copies of one line from being a single range.
+    """
+    ranged = lines.repartitionByRange(*DIMENSIONS, "row")
+    return ranged.select("value", *DIMENSIONS)
 
 
 def lzma_writer(root: str, columns: list[str], dimensions: list[str]) -> Callable:
@@ -45,6 +50,8 @@ def lzma_writer(root: str, columns: list[str], dimensions: list[str]) -> Callabl
             stream.write(packer.flush())
             stream.close()
             target = f"{current}/part-{part:05d}.lzma"
+            if files.get_file_info(target).type != fs.FileType.NotFound:
+                files.delete_file(target)
             files.move(f"{current}/_part-{attempt}", target)
             return target
 
@@ -83,7 +90,7 @@ def layout(spark: SparkSession, sf_dir: str, kind: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _written:
         root = scratch_dir(spark, kind)
-        lines = event_lines(spark, sf_dir)
+        lines = event_lines(spark, sf_dir, numbered=True)
         if kind == "lzma":
             write_lzma_layout(lines, root)
         else:

@@ -132,12 +132,12 @@ def ping_filter_range_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"""
 with {{hangs}}
 select appVersion, appBuildID, submission_date, count(*) as n from ping
-where reason = 'saved-session' and appName = '{APP}' and appUpdateChannel = 'aurora'
+where reason = 'saved-session' and appName = '{APP}' and appUpdateChannel = 'release'
   and submission_date <= '20240120'
 group by all
 """)
 def ping_filter_wildcard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = PingFilter(APP, "aurora", "*", ("*", "*"), ("*", "20240120"))
+    chosen = PingFilter(APP, "release", "*", ("*", "*"), ("*", "20240120"))
     return _dimension_counts(chosen.apply(event_lines(spark, sf_dir)))
 
 
