@@ -7,7 +7,6 @@ from hangstats.operators.reports import (
     parse_pings,
     raw_contains,
     read_reports,
-    thread_reports,
 )
 from hangstats.plans.clusters import hang_clusters, hang_clusters_nested
 from hangstats.plans.plugins import (
@@ -40,7 +39,6 @@ __all__ = [
     "read_lines",
     "read_reports",
     "session_hangs",
-    "thread_reports",
     "top_plugin_frames",
     "top_plugin_stacks",
     "write_csv",

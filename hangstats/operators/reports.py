@@ -7,15 +7,20 @@
         hang_pos INT, stack ARRAY<STRING>,
         bins ARRAY<STRUCT<label STRING, count BIGINT>>>>>>
 
-plus the other columns of the lines. The JSON value is taken apart inside the
-row, so no exploded row carries a copy of its dictionary. Generators are
-``explode_outer`` wherever their input is computed: for an inner ``explode``
-Catalyst infers filters on the input, which would parse every line again.
+plus the other columns of the lines. A body of the usual shape is read
+straight into arrays, skipping everything else in it; only numbers stay VARIANT
+until their type is checked. Any other body, broken or just unusual, is parsed
+to a VARIANT and taken apart value by value. Both happen inside the row, so no
+exploded row carries a copy of a VARIANT's dictionary.
+
+Generators are ``explode_outer`` wherever their input is computed: for an inner
+``explode`` Catalyst infers filters on the input, which would parse every line
+again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
@@ -28,6 +33,22 @@ from hangstats.functions.histograms import bin_edge, bin_midpoint, weight_of
 
 _TO_END = 2**31 - 1
 
+_USUAL_SHAPE = """
+    simpleMeasurements struct<uptime: variant>,
+    threadHangStats array<struct<
+        name: string,
+        hangs: array<struct<
+            stack: array<string>, histogram: struct<values: map<string, variant>>>>>>,
+    _unusual string
+"""
+_USUAL_OPTIONS = {
+    "mode": "PERMISSIVE",
+    "columnNameOfCorruptRecord": "_unusual",
+    "allowSingleQuotes": "false",
+    "allowNonNumericNumbers": "false",
+}
+_ON_ERROR = ("keep", "drop", "fail")
+
 
 def raw_contains(lines: DataFrame, needle: str, line: str = "value") -> DataFrame:
     """Keep lines with the given text, before any parsing."""
@@ -40,24 +61,29 @@ def parse_pings(lines: DataFrame, on_error: str = "keep", line: str = "value") -
     A malformed line has a NULL ``ping``: ``keep`` leaves it in to be counted,
     ``drop`` removes it, ``fail`` stops the job at the first one.
     """
-    if on_error not in ("keep", "drop", "fail"):
-        raise ValueError(f"on_error must be keep, drop or fail, not {on_error!r}")
-    body = F.substring(F.col(line), PREFIX_LENGTH + 1, _TO_END)
-    parse = F.parse_json if on_error == "fail" else F.try_parse_json
+    parse = _parser(on_error)
     kept = [F.col(name) for name in lines.columns if name != line]
-    pings = lines.select(
-        F.substring(F.col(line), 1, PREFIX_LENGTH - 1).alias("ping_id"),
-        parse(body).alias("ping"),
-        *kept,
-    )
+    pings = lines.select(_ping_id(line), parse(_body(line)).alias("ping"), *kept)
     return pings.where(F.col("ping").isNotNull()) if on_error == "drop" else pings
 
 
-def _bins(hang: Column) -> Column:
-    counted = F.filter(
-        variants.fields(hang, "$.histogram.values"),
-        lambda entry: variants.is_integer(entry["value"]),
-    )
+def _ping_id(line: str) -> Column:
+    return F.substring(F.col(line), 1, PREFIX_LENGTH - 1).alias("ping_id")
+
+
+def _body(line: str) -> Column:
+    return F.substring(F.col(line), PREFIX_LENGTH + 1, _TO_END)
+
+
+def _parser(on_error: str) -> Callable[[Column], Column]:
+    if on_error not in _ON_ERROR:
+        raise ValueError(f"on_error must be one of {_ON_ERROR}, not {on_error!r}")
+    return F.parse_json if on_error == "fail" else F.try_parse_json
+
+
+def _bins(values: Column) -> Column:
+    """Labels and counts of the (key, VARIANT) pairs that hold an integer."""
+    counted = F.filter(values, lambda entry: variants.is_integer(entry["value"]))
     return F.transform(
         counted,
         lambda entry: F.struct(
@@ -73,38 +99,83 @@ def _hangs(thread: Column) -> Column:
         lambda hang, pos: F.struct(
             pos.alias("hang_pos"),
             variants.texts(hang, "$.stack").alias("stack"),
-            _bins(hang).alias("bins"),
+            _bins(variants.fields(hang, "$.histogram.values")).alias("bins"),
         ),
     )
 
 
-def thread_reports(pings: DataFrame, thread: str = THREAD_NAME) -> DataFrame:
-    """Typed reports with the hangs of one thread.
-
-    Threads with another name and threads without a hang list are left out.
-    """
-    threads = F.transform(
-        variants.items("ping", "$.threadHangStats"),
+def _variant_threads(ping: Column, thread: str) -> Column:
+    """The thread's entries that have a hang list; the others give NULL hangs."""
+    return F.transform(
+        variants.items(ping, "$.threadHangStats"),
         lambda entry, pos: F.struct(
             pos.alias("thread_pos"),
             F.when(variants.text(entry, "$.name") == thread, _hangs(entry)).alias("hangs"),
         ),
     )
-    kept = [F.col(name) for name in pings.columns if name not in ("ping_id", "ping")]
-    return pings.select(
-        "ping_id",
-        F.col("ping").isNotNull().alias("well_formed"),
-        variants.integer("ping", "$.simpleMeasurements.uptime").alias("uptime"),
-        F.filter(threads, lambda entry: entry["hangs"].isNotNull()).alias("threads"),
-        *kept,
+
+
+def _typed_threads(report: Column, thread: str) -> Column:
+    """The same from a body of the usual shape."""
+
+    def hangs(entry: Column) -> Column:
+        return F.transform(
+            entry["hangs"],
+            lambda hang, pos: F.struct(
+                pos.alias("hang_pos"),
+                hang["stack"].alias("stack"),
+                _bins(F.map_entries(hang["histogram"]["values"])).alias("bins"),
+            ),
+        )
+
+    return F.transform(
+        report["threadHangStats"],
+        lambda entry, pos: F.struct(
+            pos.alias("thread_pos"),
+            F.when(entry["name"] == thread, hangs(entry)).alias("hangs"),
+        ),
     )
 
 
 def read_reports(
-    lines: DataFrame, thread: str = THREAD_NAME, on_error: str = "keep"
+    lines: DataFrame, thread: str = THREAD_NAME, on_error: str = "keep", line: str = "value"
 ) -> DataFrame:
-    """Lines to typed reports in one step."""
-    return thread_reports(parse_pings(lines, on_error), thread)
+    """Lines to typed reports with the hangs of one thread.
+
+    Threads with another name and threads without a hang list are left out.
+    ``on_error`` is that of :func:`parse_pings`.
+    """
+    parse = _parser(on_error)
+    kept = [name for name in lines.columns if name != line]
+    read = lines.select(
+        _ping_id(line),
+        _body(line).alias("_body"),
+        F.from_json(_body(line), _USUAL_SHAPE, _USUAL_OPTIONS).alias("_report"),
+        *kept,
+    )
+    usual = F.col("_report").isNotNull() & F.col("_report._unusual").isNull()
+    parsed = read.select(
+        "ping_id",
+        "_report",
+        usual.alias("_usual"),
+        F.when(~usual, parse(F.col("_body"))).alias("_ping"),
+        *kept,
+    )
+    report, ping = F.col("_report"), F.col("_ping")
+    threads = F.when(F.col("_usual"), _typed_threads(report, thread)).otherwise(
+        _variant_threads(ping, thread)
+    )
+    uptime = F.when(
+        F.col("_usual"), variants.integer(report["simpleMeasurements"]["uptime"], "$")
+    ).otherwise(variants.integer(ping, "$.simpleMeasurements.uptime"))
+    reports = parsed.select(
+        "ping_id",
+        (F.col("_usual") | ping.isNotNull()).alias("well_formed"),
+        uptime.alias("uptime"),
+        F.filter(threads, lambda entry: entry["hangs"].isNotNull()).alias("threads"),
+        *kept,
+    )
+    return reports.where(F.col("well_formed")) if on_error == "drop" else reports
 
 
 @contextmanager

@@ -35,6 +35,7 @@ def reports(spark, sf_dir, tmp_path_factory):
 def test_one_scan_and_one_parse(reports, name):
     plan = final_plan(ANALYSES[name](reports))
     assert plan.count("FileScan text") == 1
+    assert plan.count("from_json") == 1
     assert plan.count("parseJson") == 1
     assert not re.search(r"Python|ArrowEval|MapIn|CartesianProduct|NestedLoop", plan)
 

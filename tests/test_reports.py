@@ -202,11 +202,36 @@ def test_on_error(spark):
         hs.parse_pings(lines, "fail").select(F.col("ping").cast("string")).collect()
     with pytest.raises(ValueError):
         hs.parse_pings(lines, "other")
+    assert hs.read_reports(lines, on_error="drop").count() == 4
+    assert hs.read_reports(lines).count() == 6
+    with pytest.raises(Exception):
+        hs.session_hangs(hs.read_reports(lines, on_error="fail")).collect()
+    good = lines_frame(spark, MICRO[:4])
+    assert hs.session_hangs(hs.read_reports(good, on_error="fail")).count() == 2
 
 
 def test_repeated_keys_keep_the_report(spark):
     body = '{"threadHangStats":[],"a":1,"a":2}'
     assert rows(ping_counts(of(spark, body))) == [(1, 0)]
+    odd = '{"threadHangStats":[5],"a":1,"a":2}'
+    assert rows(ping_counts(of(spark, odd))) == [(1, 0)]
+
+
+def test_repeated_labels_all_count(spark):
+    body = json.dumps(report([hang(["a"], {"1": 2, "2": 3})])).replace('"2"', '"1"')
+    assert hs.plugin_hang_stats(of(spark, body)).first().n_total == 5
+
+
+@pytest.mark.parametrize("body", ["[]", "5", "null", '"x"', "{} x", "[{}]"])
+def test_bodies_that_are_no_object(spark, body):
+    reports = of(spark, body)
+    assert rows(ping_counts(reports)) == [(1, 0)]
+    assert rows(hs.hang_rows(reports)) == rows(hs.session_hangs(reports)) == []
+
+
+@pytest.mark.parametrize("body", ["", " ", "{", "{'a': 1}", '{"a": NaN}', "{a: 1}", '{"a": 01}'])
+def test_bodies_that_are_no_json(spark, body):
+    assert rows(ping_counts(of(spark, body))) == [(0, 1)]
 
 
 def test_cached_reports_give_the_same(spark, reports):
