@@ -64,7 +64,7 @@ def parse_pings(lines: DataFrame, on_error: str = "keep", line: str = "value") -
     parse = _parser(on_error)
     kept = [F.col(name) for name in lines.columns if name != line]
     pings = lines.select(_ping_id(line), parse(_body(line)).alias("ping"), *kept)
-    return pings.where(F.col("ping").isNotNull()) if on_error == "drop" else pings
+    return _keep(pings, F.col("ping").isNotNull()) if on_error == "drop" else pings
 
 
 def _ping_id(line: str) -> Column:
@@ -81,6 +81,16 @@ def _parser(on_error: str) -> Callable[[Column], Column]:
     return F.parse_json if on_error == "fail" else F.try_parse_json
 
 
+def _keep(frame: DataFrame, condition: Column) -> DataFrame:
+    """Filter by a parsed value without parsing for the filter once more.
+
+    A plain filter would be pushed below the parse, taking a copy of it along.
+    """
+    packed = F.when(condition, F.array(F.struct(*frame.columns)))
+    rows = frame.select(F.explode_outer(packed).alias("row")).where(F.col("row").isNotNull())
+    return rows.select("row.*")
+
+
 def _bins(values: Column) -> Column:
     """Labels and counts of the (key, VARIANT) pairs that hold an integer."""
     counted = F.filter(values, lambda entry: variants.is_integer(entry["value"]))
@@ -175,7 +185,7 @@ def read_reports(
         F.filter(threads, lambda entry: entry["hangs"].isNotNull()).alias("threads"),
         *kept,
     )
-    return reports.where(F.col("well_formed")) if on_error == "drop" else reports
+    return _keep(reports, F.col("well_formed")) if on_error == "drop" else reports
 
 
 @contextmanager

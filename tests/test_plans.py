@@ -40,6 +40,13 @@ def test_one_scan_and_one_parse(reports, name):
     assert not re.search(r"Python|ArrowEval|MapIn|CartesianProduct|NestedLoop", plan)
 
 
+@pytest.mark.parametrize("read", [hs.read_reports, hs.parse_pings])
+def test_dropping_malformed_lines_parses_once(spark, sf_dir, read):
+    plan = final_plan(read(event_lines(spark, sf_dir), on_error="drop"))
+    assert plan.count("parseJson") == 1
+    assert plan.count("from_json") == (read is hs.read_reports)
+
+
 def test_sessions_need_no_shuffle(reports):
     assert "Exchange" not in final_plan(hs.session_hangs(reports))
 

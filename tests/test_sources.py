@@ -143,6 +143,9 @@ def test_text_and_gzip(spark, tmp_path):
     lines = hs.read_lines(spark, str(tmp_path), compressed=False)
     assert texts(lines) == ["four", "one", "three", "two"]
     assert lines.first().appVersion == "36.0"
+    half = hs.read_lines(spark, str(tmp_path), fraction=0.5, compressed=False)
+    assert texts(half) == ["one", "two"]
+    assert files_read(half) == 1
 
 
 def test_text_that_is_not_utf8(spark, tmp_path):
