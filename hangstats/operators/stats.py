@@ -69,25 +69,29 @@ def value_at_rank(
         *by, *[d.alias(n) for d, n in zip(digits, names)], weight.cast("bigint").alias("_w")
     )
     whole = Window.partitionBy(*by)
+    few_groups = few_groups or not by  # without `by` there is one group
     found = None
     for depth, name in enumerate(names):
         known = [*by, *names[:depth]]
         level = base.select(*known, name, "_w")
-        carried = []
-        if found is not None:
+        if found is None:
+            sums = level.groupBy(*known, name).agg(F.sum("_w").alias("_w"))
+            sums = sums.withColumn("n", F.sum("_w").over(whole))
+            sums = sums.withColumn("_rank", rank(F.col("n")).cast("bigint"))
+        else:
             target = found.select(
                 *[F.col(key).alias(f"_{key}") for key in known], "n", "_rank"
             )
-            target = F.broadcast(target) if few_groups else target
             # Null-safe, so that no filter on the keys is inferred below `rows`:
             # all levels then share one scan or shuffle of them.
-            same = [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in known]
-            level = level.join(target, reduce(lambda a, b: a & b, same))
-            carried = ["n", "_rank"]
-        sums = level.groupBy(*known, name, *carried).agg(F.sum("_w").alias("_w"))
-        if found is None:
-            sums = sums.withColumn("n", F.sum("_w").over(whole))
-            sums = sums.withColumn("_rank", rank(F.col("n")).cast("bigint"))
+            same = reduce(
+                lambda a, b: a & b, [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in known]
+            )
+            if few_groups:
+                wanted = level.join(F.broadcast(target), same)
+                sums = wanted.groupBy(*known, name, "n", "_rank").agg(F.sum("_w").alias("_w"))
+            else:  # sums first, so that equal rows are not shuffled one by one
+                sums = level.groupBy(*known, name).agg(F.sum("_w").alias("_w")).join(target, same)
         running = F.sum("_w").over(
             whole.orderBy(name).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )

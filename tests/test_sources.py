@@ -9,6 +9,7 @@ import pytest
 from conftest import final_plan
 
 import hangstats as hs
+from hangstats.catalog.layouts import arrow_uri
 from hangstats.constants import DIMENSIONS
 from hangstats.session import scratch_dir
 from hangstats.sources.files import (
@@ -177,6 +178,11 @@ def test_slices(spark, root):
     assert at_least_default_slices(large) is large
 
 
+def test_arrow_paths(spark):
+    assert arrow_uri(spark, "/some/where") == "/some/where"
+    assert arrow_uri(spark, "file:///some/where") == "/some/where"
+
+
 def test_scratch_folder_follows_the_session(spark):
     before = spark.conf.get("spark.checkpoint.dir", None)
     assert scratch_dir(spark, "x") != scratch_dir(spark, "x")
