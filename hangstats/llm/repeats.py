@@ -27,16 +27,17 @@ key is hot.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hangstats.llm.common import id_and_text, map_rows, stage_table
+from hangstats.llm.common import encoded, id_and_text, map_rows, stage_table
 
 
 class Symbols(NamedTuple):
@@ -50,13 +51,17 @@ class Symbols(NamedTuple):
 
 
 class Pack(NamedTuple):
-    """Units of some texts: ``data[begin[i] : end[j]]`` holds units i to j; text k has units first[k] to first[k + 1]."""
+    """Units of some texts: ``data[begin[i] : end[j]]`` holds units i to j; text k has units first[k] to first[k + 1].
+
+    ``spare``: further symbols, for windows that hold none of ``symbols``.
+    """
 
     data: bytes
     begin: np.ndarray
     end: np.ndarray
     first: np.ndarray
     symbols: Symbols | None
+    spare: Callable[[], Symbols] | None
 
 
 class Runs(NamedTuple):
@@ -88,7 +93,7 @@ def _smallest(ranks: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarr
         reach *= 2
 
 
-def runs_of(symbols: Symbols, first: np.ndarray, size: int) -> Runs:
+def runs_of(symbols: Symbols, spare: Callable[[], Symbols], first: np.ndarray, size: int) -> Runs:
     """Every window of every text, by the symbol it is given to; place -1: it holds no symbol's context."""
     valid_from, valid_to = first[:-1], first[1:] - size + 1
     long = valid_to > valid_from
@@ -110,24 +115,40 @@ def runs_of(symbols: Symbols, first: np.ndarray, size: int) -> Runs:
     heads = np.flatnonzero(new)
     chosen, last = chosen[heads], stop[np.append(heads[1:], len(start)) - 1] - 1
     start = start[heads]
-    # Windows without a symbol stand alone.
     alone = chosen < 0
-    counts = np.where(alone, last - start + 1, 1)
-    offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    alone, chosen, start, last = (np.repeat(x, counts) for x in (alone, chosen, start, last))
-    start = start + offset
-    last = np.where(alone, start, last)
-    if not len(symbols.names):
-        return Runs(start, last, np.full(len(start), -1), np.zeros(len(start), np.uint64))
+    own = Runs(
+        start[~alone], last[~alone], symbols.places[chosen[~alone]], symbols.names[chosen[~alone]]
+    )
+    if not alone.any():
+        return own
+    counts = (last - start + 1)[alone]
+    single = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(start[alone], counts)
+    others = _by_spare(single, spare(), size)
+    return Runs(*(np.concatenate(pair) for pair in zip(own, others, strict=True)))
+
+
+def _by_spare(windows: np.ndarray, spare: Symbols, size: int) -> Runs:
+    """Runs of single windows by their spare symbol; a window without one stands alone, place -1."""
+    begin = np.searchsorted(spare.low, windows)
+    end = np.maximum(begin, np.searchsorted(spare.high, windows + size, side="right"))
+    chosen = _smallest(spare.ranks, begin, end)
+    new = np.ones(len(windows), dtype=bool)
+    new[1:] = (chosen[1:] != chosen[:-1]) | (windows[1:] != windows[:-1] + 1) | (chosen[1:] < 0)
+    heads = np.flatnonzero(new)
+    chosen, last = chosen[heads], windows[np.append(heads[1:], len(windows)) - 1]
+    none = chosen < 0
+    if not len(spare.names):
+        return Runs(windows[heads], last, chosen, chosen.astype(np.uint64))
     return Runs(
-        start, last, np.where(alone, -1, symbols.places[chosen]), np.where(alone, np.uint64(0), symbols.names[chosen])
+        windows[heads], last, np.where(none, -1, spare.places[chosen]), np.where(none, np.uint64(0), spare.names[chosen])
     )
 
 
-def _digest(data: bytes, *extra: int) -> tuple[int, int]:
-    found = hashlib.blake2b(data, digest_size=16, salt=b"".join(x.to_bytes(8, "little", signed=True) for x in extra))
-    raw = found.digest()
-    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
+def _digests(data: bytes, begin: list[int], end: list[int], seeds: list[int]) -> np.ndarray:
+    """128-bit digests of parts of ``data`` as two columns."""
+    digest = xxhash.xxh3_128_digest
+    found = b"".join([digest(data[a:b], s) for a, b, s in zip(begin, end, seeds, strict=True)])
+    return np.frombuffer(found, dtype=np.int64).reshape(-1, 2)
 
 
 _ENTRY = "doc_id bigint, th bigint, s_lo int, s_hi int, t int, core bigint, c1 bigint, c2 bigint"
@@ -139,16 +160,15 @@ def _whole_runs(rows: DataFrame, parse: Parse, size: int) -> DataFrame:
 
     def work(table: pa.Table) -> dict[str, list] | None:
         pack = parse(table.column("text").to_pylist(), True)
-        runs = runs_of(pack.symbols, pack.first, size)
+        runs = runs_of(pack.symbols, pack.spare, pack.first, size)
         if not len(runs.first):
             return None
         text = np.searchsorted(pack.first, runs.first, side="right") - 1
         base = pack.first[text]
         place = np.where(runs.place < 0, runs.first, runs.place)
         begin, end = pack.begin[runs.first].tolist(), pack.end[runs.last + size - 1].tolist()
-        shift, width = (place - runs.first).tolist(), (runs.last - runs.first).tolist()
-        found = [_digest(pack.data[a:b], s, w) for a, b, s, w in zip(begin, end, shift, width, strict=True)]
-        c1, c2 = np.array(found, dtype=np.int64).T
+        seeds = ((place - runs.first) << 32) + (runs.last - runs.first)
+        c1, c2 = _digests(pack.data, begin, end, seeds.tolist()).T
         ids, hashes = table.column("doc_id").to_pylist(), table.column("th").to_numpy()
         columns = (
             [ids[i] for i in text.tolist()], hashes[text], runs.first - base, runs.last - base, place - base,
@@ -168,27 +188,28 @@ def _blocks(rows: DataFrame, parse: Parse, size: int, block: int) -> DataFrame:
 
     def work(table: pa.Table) -> dict[str, list] | None:
         pack = parse(table.column("text").to_pylist(), False)
-        out: dict[str, list] = {name: [] for name in _NAMES}
-        ids, hashes = table.column("doc_id").to_pylist(), table.column("th").to_pylist()
-        for i, runs in enumerate(table.column("runs").to_pylist()):
-            base, n_windows = int(pack.first[i]), int(pack.first[i + 1] - pack.first[i]) - size + 1
-            begin, end = pack.begin, pack.end
-            wanted = {
-                (run["t"], b)
-                for run in runs
-                for b in range((run["t"] - run["s_hi"]) // block, (run["t"] - run["s_lo"]) // block + 1)
-            }
-            for t, b in sorted(wanted):
-                low, high = t - b * block - block + 1, t - b * block
-                s_lo, s_hi = max(low, 0), min(high, n_windows - 1)
-                cover = pack.data[begin[base + s_lo] : end[base + s_hi + size - 1]]
-                c1, c2 = _digest(cover, t - s_lo, s_hi - s_lo)
-                core = c1
-                if block > 1:
-                    core = _digest(pack.data[begin[base + high] : end[base + low + size - 1]], b, 0)[0]
-                for name, value in zip(_NAMES, (ids[i], hashes[i], s_lo, s_hi, t, core, c1, c2), strict=True):
-                    out[name].append(value)
-        return out if out["t"] else None
+        listed = table.column("runs").combine_chunks()
+        counts, runs = pc.list_value_length(listed).to_numpy(), listed.flatten()
+        text = np.repeat(np.arange(len(counts)), counts)
+        s_lo, s_hi, t = (runs.field(name).to_numpy().astype(np.int64) for name in ("s_lo", "s_hi", "t"))
+        b_lo, b_hi = (t - s_hi) // block, (t - s_lo) // block
+        many = b_hi - b_lo + 1
+        b = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(b_lo, many)
+        wanted = np.stack([np.repeat(text, many), np.repeat(t, many), b], axis=1)
+        wanted = wanted[np.lexsort(wanted.T[::-1])]
+        text, t, b = wanted[np.append(True, (wanted[1:] != wanted[:-1]).any(axis=1))].T
+        base, n_windows = pack.first[text], (np.diff(pack.first) - size + 1)[text]
+        low, high = t - b * block - block + 1, t - b * block
+        s_lo, s_hi = np.maximum(low, 0), np.minimum(high, n_windows - 1)
+        begin, end = pack.begin[base + s_lo].tolist(), pack.end[base + s_hi + size - 1].tolist()
+        c1, c2 = _digests(pack.data, begin, end, (((t - s_lo) << 32) + (s_hi - s_lo)).tolist()).T
+        core = c1
+        if block > 1:
+            begin, end = pack.begin[base + high].tolist(), pack.end[base + low + size - 1].tolist()
+            core = _digests(pack.data, begin, end, (b & 0xFFFFFFFF).tolist())[:, 0]
+        ids, hashes = table.column("doc_id").to_pylist(), table.column("th").to_numpy()
+        columns = ([ids[i] for i in text.tolist()], hashes[text], s_lo, s_hi, t, core, c1, c2)
+        return dict(zip(_NAMES, columns, strict=True))
 
     return map_rows(rows, _ENTRY, work)
 
@@ -196,12 +217,15 @@ def _blocks(rows: DataFrame, parse: Parse, size: int, block: int) -> DataFrame:
 def _settled(entries: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     """Entries all of whose windows occur again, and entries that only a finer round can settle."""
     key, row = ["core", "c1", "c2"], ["doc_id", "th", "s_lo", "s_hi", "t"]
-    classes = entries.groupBy(key).agg(F.count("*").alias("n"), *(F.min(c).alias(c) for c in row))
+    place = F.xxhash64("doc_id", "th", "s_lo", "t")  # tells the entries of a class apart
+    classes = entries.groupBy(key).agg(
+        F.count("*").alias("n"), F.min(place).alias("least"), *(F.min(c).alias(c) for c in row)
+    )
     cores = classes.groupBy("core").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).filter("total > 1")
     kept = stage_table(classes.join(cores.select("core", "kinds"), "core").filter("n > 1 or kinds > 1"), f"{label}-kept")
-    twice = kept.filter("n > 1").select(*key, F.col("doc_id").alias("least"), (F.col("kinds") > 1).alias("open"))
-    shown = F.col("open") & F.col("doc_id").eqNullSafe(F.col("least"))
-    certain = stage_table(entries.join(twice, key).select(*row, shown.alias("shown")), f"{label}-certain")
+    twice = kept.filter("n > 1").select(*key, "least", (F.col("kinds") > 1).alias("open"))
+    shown = (F.col("open") & (place == F.col("least"))).alias("shown")
+    certain = stage_table(entries.join(twice, key).select(*row, shown), f"{label}-certain")
     # The only row of a class is its minimum in every column.
     open_ = kept.filter("n = 1").select(*row).unionByName(certain.filter("shown").select(*row))
     return certain.select(*row), open_
@@ -234,24 +258,23 @@ def repeated_windows(docs: DataFrame, parse: Parse, size: int, block: int) -> tu
     return texts, found
 
 
-def spans_of(windows: list, size: int) -> list[tuple[int, int]]:
-    """Maximal ranges of units that the windows cover."""
-    out: list[list[int]] = []
-    for low, high in sorted((w["s_lo"], w["s_hi"] + size) for w in windows or ()):
-        if out and low <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], high)
-        else:
-            out.append([low, high])
-    return [(a, b) for a, b in out]
+def spans_of(low: np.ndarray, high: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal ranges that the ranges [low, high) cover; ranges that touch make one."""
+    order = np.argsort(low, kind="stable")
+    low, high = low[order], np.maximum.accumulate(high[order]) if len(low) else high
+    first = np.flatnonzero(np.append(True, low[1:] > high[:-1])) if len(low) else np.empty(0, np.int64)
+    last = np.append(first[1:], len(low)) - 1
+    return list(zip(low[first].tolist(), high[last].tolist() if len(low) else [], strict=True))
 
 
 def without_repeats(
     texts: DataFrame,
     windows: DataFrame,
+    size: int,
     schema: str,
-    cut: Callable[[int | None, str | None, list], tuple],
+    cut: Callable[[int | None, bytes, list[tuple[int, int]]], tuple],
 ) -> DataFrame:
-    """``cut(doc_id, text, windows)`` for each text; each text travels once, to its own windows."""
+    """``cut(doc_id, text, spans)`` for each text; each text travels once, to its own windows."""
     windows = stage_table(
         windows.groupBy("doc_id", "th").agg(F.collect_list(F.struct("s_lo", "s_hi")).alias("windows")), "cuts"
     ).select(F.col("doc_id").alias("cut_id"), F.col("th").alias("cut_th"), "windows")
@@ -260,8 +283,15 @@ def without_repeats(
     names = [part.split()[0] for part in schema.split(", ")]
 
     def work(table: pa.Table) -> dict[str, list]:
-        columns: Iterator = zip(*(table.column(c).to_pylist() for c in ("doc_id", "text", "windows")), strict=True)
-        found = [cut(*row) for row in columns]
+        ids = table.column("doc_id").to_pylist()
+        listed = table.column("windows").combine_chunks()
+        counts, windows = pc.fill_null(pc.list_value_length(listed), 0).to_numpy(), listed.flatten()
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        low, high = (windows.field(name).to_numpy().astype(np.int64) for name in ("s_lo", "s_hi"))
+        found = []
+        for i, text in enumerate(encoded(table.column("text").to_pylist())):
+            own = slice(bounds[i], bounds[i + 1])
+            found.append(cut(ids[i], text, spans_of(low[own], high[own] + size) if counts[i] else []))
         return dict(zip(names, map(list, zip(*found, strict=True)), strict=True))
 
     return map_rows(rows, schema, work)

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from hangstats.llm.common import encoded
-from hangstats.llm.repeats import Pack, Symbols, repeated_windows, spans_of, without_repeats
+from hangstats.llm.repeats import Pack, Symbols, repeated_windows, without_repeats
 from hangstats.llm.words import mixed, words_of
 
 SIZE, BLOCK, ROUNDS = 35, 4, 4
@@ -73,13 +73,20 @@ def recompress(words: np.ndarray, rounds: int = ROUNDS) -> tuple[Symbols, np.nda
     return Symbols(names, mixed(names) >> np.uint64(1) | short, begin, low, high), begin, end
 
 
+def triples(words: np.ndarray) -> Symbols:
+    """Every three words, decided by themselves alone: for windows whose tokens reach too far, in repetitive text."""
+    at = np.arange(max(len(words) - 2, 0))
+    names = mixed(mixed(words[at] * _RUN + words[at + 1]) * _PAIR + words[at + 2])
+    return Symbols(names, mixed(names), at, at, at + 3)
+
+
 def parse_words(texts: list[str | None], with_symbols: bool) -> Pack:
     """Words joined by one space; contexts keep symbols that reach over the end of a text out of every window."""
     words = words_of([b" ".join(t.split()) for t in encoded(texts)], marks_split=False, fold=False)
     symbols = recompress(words.hashes)[0] if with_symbols and len(words.hashes) else None
     if symbols is None:
         symbols = Symbols(np.empty(0, np.uint64), np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3)))
-    return Pack(words.data, words.starts, words.ends, words.first, symbols)
+    return Pack(words.data, words.starts, words.ends, words.first, symbols, lambda: triples(words.hashes))
 
 
 SCHEMA = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, spans array<array<bigint>>"
@@ -94,8 +101,8 @@ def remove_repeated_words(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """
     texts, windows = repeated_windows(docs, parse_words, size, BLOCK)
 
-    def cut(doc_id: int | None, text: str | None, found: list) -> tuple:
-        words, spans, kept, done = (text or "").encode().split(), spans_of(found, size), [], 0
+    def cut(doc_id: int | None, data: bytes, spans: list[tuple[int, int]]) -> tuple:
+        words, kept, done = data.split(), [], 0
         for a, b in spans:
             kept += words[done:a]
             done = b
@@ -103,4 +110,4 @@ def remove_repeated_words(docs: DataFrame, size: int = SIZE) -> DataFrame:
         digest = hashlib.sha256(b" ".join(kept)).hexdigest()
         return doc_id, len(words), sum(b - a for a, b in spans), digest, [list(s) for s in spans]
 
-    return without_repeats(texts, windows, SCHEMA, cut)
+    return without_repeats(texts, windows, size, SCHEMA, cut)

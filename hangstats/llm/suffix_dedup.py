@@ -17,12 +17,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from hangstats.llm.common import encoded
-from hangstats.llm.repeats import Pack, Symbols, repeated_windows, spans_of, without_repeats
+from hangstats.llm.repeats import Pack, Symbols, repeated_windows, without_repeats
 from hangstats.llm.words import mixed
 
 SIZE, BLOCK = 400, 12
 #: One trigger in so many bytes; a symbol is the phrases from a trigger on that cover so many bytes.
 _RARITY_BITS, _COVER, _TRIGGER = 3, 96, 8
+#: No trigger within so many bytes.
+_QUIET = 64
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.Generator(np.random.PCG64(5))
 _BYTE = _rng.integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
@@ -63,12 +65,32 @@ def parse_suffixes(data: bytes) -> Symbols:
     return Symbols(combined, mixed(combined), starts, starts, triggers[stop] + _TRIGGER)
 
 
+def quiet_places(data: bytes) -> Symbols:
+    """Places far from any trigger, named by their bytes: for windows with too few triggers, in periodic text mostly."""
+    if len(data) < 2 * _QUIET + _TRIGGER:
+        return _EMPTY
+    rolling = np.ndarray(len(data) - _TRIGGER + 1, dtype="<u8", buffer=data, strides=(1,))
+    triggers = np.flatnonzero(rolling * _SPREAD >> np.uint64(64 - _RARITY_BITS) == 0)
+    bounds = np.concatenate([[-1], triggers, [len(rolling)]])
+    gaps = np.flatnonzero(np.diff(bounds) > 2 * _QUIET)
+    places = [np.arange(max(bounds[g] + _QUIET + 1, _QUIET), bounds[g + 1] - _QUIET) for g in gaps]
+    at = np.concatenate([np.empty(0, np.int64), *places]).astype(np.int64)
+    at = at[at + _QUIET + _TRIGGER <= len(data)]
+    total = np.zeros(len(at), dtype=np.uint64)
+    for i in range(_QUIET // 8):
+        total += rolling[at + 8 * i] * _PLACE[i]
+    names = mixed(total)
+    return Symbols(names, mixed(names), at, at - _QUIET, at + _QUIET + _TRIGGER)
+
+
 def parse_bytes(texts: list[str | None], with_symbols: bool) -> Pack:
     data = encoded(texts)
     first = np.concatenate([[0], np.cumsum([len(d) for d in data], dtype=np.int64)])
     joined = b"".join(data)
     place = np.arange(len(joined), dtype=np.int64)
-    return Pack(joined, place, place + 1, first, parse_suffixes(joined) if with_symbols else None)
+    return Pack(
+        joined, place, place + 1, first, parse_suffixes(joined) if with_symbols else None, lambda: quiet_places(joined)
+    )
 
 
 SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<array<bigint>>"
@@ -83,12 +105,12 @@ def remove_repeated_bytes(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """
     texts, windows = repeated_windows(docs, parse_bytes, size, BLOCK)
 
-    def cut(doc_id: int | None, text: str | None, found: list) -> tuple:
-        data, spans, kept, done = (text or "").encode(), spans_of(found, size), hashlib.sha256(), 0
+    def cut(doc_id: int | None, data: bytes, spans: list[tuple[int, int]]) -> tuple:
+        kept, done = hashlib.sha256(), 0
         for a, b in spans:
             kept.update(data[done:a])
             done = b
         kept.update(data[done:])
         return doc_id, len(data), sum(b - a for a, b in spans), len(spans), kept.hexdigest(), [list(s) for s in spans]
 
-    return without_repeats(texts, windows, SCHEMA, cut)
+    return without_repeats(texts, windows, size, SCHEMA, cut)
