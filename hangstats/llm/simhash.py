@@ -52,13 +52,15 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``fp`` (the 64 bits as a signed number) for each row of ``docs``; NULL texts count as empty."""
+    """``doc_id``, ``th`` (text hash), ``fp`` (the 64 bits as a signed number) of each row; NULL texts count as empty."""
 
     def work(table: pa.Table) -> dict[str, list]:
         found = np.array([fingerprint_of(t) for t in encoded(table.column("text").to_pylist())], dtype=np.uint64)
-        return {"doc_id": table.column("doc_id").to_pylist(), "fp": found.view(np.int64)}
+        ids, hashes = table.column("doc_id").to_pylist(), table.column("th").to_numpy()
+        return {"doc_id": ids, "th": hashes, "fp": found.view(np.int64)}
 
-    return map_rows(id_and_text(docs), "doc_id bigint, fp bigint", work)
+    rows = id_and_text(docs).withColumn("th", F.xxhash64("text"))
+    return map_rows(rows, "doc_id bigint, th bigint, fp bigint", work)
 
 
 def _masks() -> list[int]:
@@ -128,6 +130,19 @@ def links_between(distinct: DataFrame) -> DataFrame:
     return sorted_rows.mapInArrow(_bucket_links, "a bigint, b bigint").distinct()
 
 
+def _grouped(docs: DataFrame) -> DataFrame:
+    """``doc_id, th, fp, root, component_id`` for each row of ``docs``."""
+    found = stage_table(fingerprints(docs), "simhash")
+    distinct = stage_table(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    roots = components(links_between(distinct.select("fp")))
+    labelled = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root")
+    )
+    smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
+    labels = stage_table(labelled.join(smallest, "root").select("fp", "root", "component_id"), "labels")
+    return found.join(labels, "fp")
+
+
 def group_documents(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits), ``component_id``: the smallest id reachable over links.
 
@@ -136,29 +151,26 @@ def group_documents(docs: DataFrame) -> DataFrame:
     component's id only where no document of it has another. Only distinct
     fingerprints are compared, so copies add no links.
     """
-    found = stage_table(fingerprints(docs), "simhash")
-    distinct = stage_table(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links_between(distinct.select("fp")))
-    labelled = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = stage_table(labelled.join(smallest, "root").select("fp", "component_id"), "labels")
-    return found.join(labels, "fp").select(
+    return _grouped(docs).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, with the smallest id of each component.
+    """The rows of ``docs``, all columns: of each component the one with the smallest id, then text hash.
 
-    Rows with a NULL id stay only as the one row of a component without other
-    ids. Of rows with the same id the one with the smallest text hash stays.
+    A row with a NULL id stays only where its component has no other ids; of
+    repeated rows one stays.
     """
-    groups = group_documents(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("kept")).distinct()
-    kept = docs.join(groups, docs["doc_id"].eqNullSafe(groups["kept"].cast(docs.schema["doc_id"].dataType)), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    rank = "_rank"
-    while rank in docs.columns:
-        rank += "_"
-    return kept.withColumn(rank, F.row_number().over(first)).filter(F.col(rank) == 1).select(*docs.columns)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("first")
+    kept = _grouped(docs).groupBy("root").agg(first).select(
+        F.col("first.doc_id").alias("kept_id"), F.col("first.th").alias("kept_th")
+    )
+    text_hash, rank = "_th", "_rank"
+    while {text_hash, rank} & set(docs.columns):
+        text_hash, rank = text_hash + "_", rank + "_"
+    rows = docs.withColumn(text_hash, F.xxhash64(F.col("text").cast("string")))
+    same = rows["doc_id"].cast("long").eqNullSafe(kept["kept_id"]) & (rows[text_hash] == kept["kept_th"])
+    repeated = Window.partitionBy("doc_id", text_hash).orderBy(text_hash)
+    rows = rows.join(kept, same, "left_semi").withColumn(rank, F.row_number().over(repeated))
+    return rows.filter(F.col(rank) == 1).select(*docs.columns)

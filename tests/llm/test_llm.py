@@ -1,0 +1,348 @@
+"""Text operators against brute force: odd rows, small tables, and the contract's columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from hangstats.llm import decontamination, fingerprints, quality, queries, simhash, toxicity
+from hangstats.llm.components import components
+from hangstats.llm.licenses import scan_licenses
+from hangstats.llm.personal_data import find_spans, luhn, mod97, personal_data, redacted
+from hangstats.llm.sentencepieces import codec, encode_documents
+from hangstats.llm.substring_dedup import remove_repeated_words
+from hangstats.llm.suffix_dedup import remove_repeated_bytes
+
+MODEL = public_tokenizers.path(queries.TOKENIZER)
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def sha(data):
+    return hashlib.sha256(data.encode() if isinstance(data, str) else data).hexdigest()
+
+
+def make_texts():
+    """Passages shared by several texts, copies, edits, periodic and odd texts."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdeéñ") for _ in range(rng.randint(1, 8))) for _ in range(300)]
+
+    def prose(n):
+        return " ".join(rng.choice(words) for _ in range(n))
+
+    passage, base = prose(70), prose(400)
+    texts = [prose(rng.randint(1, 300)) for _ in range(30)]
+    texts += [f"{prose(20)}\n{passage}\t{prose(15)}" for _ in range(12)]
+    texts += [base] * 5 + [base.replace(" ", "  ", 3)]
+    for _ in range(12):
+        edited = base.split(" ")
+        edited[rng.randrange(len(edited))] = prose(1)
+        texts.append(" ".join(edited))
+    texts += ["of " * 300, "of of " * 120 + prose(40), "x" * 3000, "ab" * 900, prose(20_000), f"{passage} {passage}"]
+    texts += ["", " \n\t", None, None, "één woord", "two words"]
+    return texts
+
+
+@pytest.fixture(scope="module")
+def rows():
+    out = [(i * 7 % 1009, text) for i, text in enumerate(make_texts())]
+    return [*out, out[0], (None, "without an id " * 60), (None, None), (5000, "tie one"), (5000, "tie two")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
+    clashing = ("score", "fingerprint", "th", "windows", "runs", "fp", "n", "a", "b", "label", "kept", "_rank")
+    return frame.select("*", *[F.lit(1).alias(c) for c in clashing]).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def collected(frame):
+    return Counter(tuple(r) for r in frame.collect())
+
+
+def brute_repeats(rows, split, join, size):
+    units = [split((t or "").encode()) for _, t in rows]
+    keys = [[tuple(u[i : i + size]) for i in range(len(u) - size + 1)] for u in units]
+    counts = Counter(k for own in keys for k in own)
+    out = []
+    for (doc_id, _), u, own in zip(rows, units, keys):
+        gone = {j for i, k in enumerate(own) if counts[k] > 1 for j in range(i, i + size)}
+        spans = sum(j - 1 not in gone for j in gone)
+        out.append((doc_id, len(u), len(gone), spans, sha(join([x for j, x in enumerate(u) if j not in gone]))))
+    return out
+
+
+def test_repeated_words(docs, rows, nothing):
+    expected = brute_repeats(rows, bytes.split, b" ".join, 35)
+    found = collected(remove_repeated_words(docs).drop("spans"))
+    assert found == Counter((i, n, r, s) for i, n, r, _, s in expected)
+    assert remove_repeated_words(nothing).count() == 0
+
+
+def test_repeated_bytes(docs, rows, nothing):
+    expected = brute_repeats(rows, list, bytes, 400)
+    assert collected(remove_repeated_bytes(docs).drop("spans")) == Counter(expected)
+    assert remove_repeated_bytes(nothing).count() == 0
+
+
+def brute_simhash(text):
+    words = (text or "").encode().lower().split()
+    shingles = [b" ".join(words[i : i + 3]) for i in range(max(len(words) - 2, bool(words)))]
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash(docs, rows, nothing):
+    prints = [brute_simhash(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for _ in rows:
+        for i, a in enumerate(prints):
+            group[i] = min(group[j] for j, b in enumerate(prints) if (a ^ b).bit_count() <= 3)
+    least = {g: min((i for (i, _), h in zip(rows, group) if h == g and i is not None), default=None) for g in group}
+    expected = Counter((i, f"{p:016x}", least[g]) for (i, _), p, g in zip(rows, prints, group))
+    assert collected(simhash.group_documents(docs)) == expected
+    kept = simhash.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert kept.count() == len(set(group))
+    assert simhash.group_documents(nothing).count() == 0
+
+
+def test_links_of_a_large_bucket(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PART", 40)
+    rng = random.Random(8)
+    center = rng.getrandbits(64)
+    values = {center ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for _ in range(300)}
+    signed = sorted(v - (1 << 64) if v >> 63 else v for v in values)
+    links = simhash.links_between(spark.createDataFrame([(v,) for v in signed], "fp bigint"))
+    roots = {r.node: r.root for r in components(links).collect()}
+    label = {v: v for v in signed}
+    for _ in range(6):
+        for v in signed:
+            label[v] = min(label[w] for w in signed if ((v ^ w) & (1 << 64) - 1).bit_count() <= 3)
+    assert {v: roots.get(v, v) for v in signed} == label
+
+
+def test_components_of_a_path(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a bigint, b bigint")
+    found = {r.node: r.root for r in components(links).collect()}
+    assert found == {**{i: 0 for i in range(1, 41)}, 101: 100}
+
+
+def test_fingerprints(docs, rows, nothing):
+    found = fingerprints.fingerprint_neighbours(docs).collect()
+    ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
+    assert Counter(r.doc_id for r in found) == Counter(i for i, _ in rows)
+    by_id = {r.doc_id: r for r in found}
+    ids = [i for i, _ in ordered]
+    for (doc_id, text), (next_id, following) in zip(ordered, [*ordered[1:], ordered[0]]):
+        if doc_id is None or ids.count(doc_id) > 1 or next_id is None or ids.count(next_id) > 1:
+            continue
+        text, following, row = text or "", following or "", by_id[doc_id]
+        edited = text[: len(text) - len(text) // 3] + following[: len(text) // 3]
+        weights, changed, other = (
+            fingerprints.Chunks(t.encode()).weights() for t in (text, edited, following)
+        )
+        assert row.n_chars == len(text) and row.edited_sha256 == sha(edited)
+        assert fingerprints.parse(row.fingerprint) == weights
+        assert fingerprints.parse(row.edited_fingerprint) == changed
+        assert row.near_edited == fingerprints.containment(weights, changed)
+        assert row.near_next == fingerprints.containment(weights, other)
+    assert fingerprints.fingerprint_neighbours(nothing).count() == 0
+    assert fingerprints.fingerprint_neighbours(docs.filter("doc_id = 7")).count() == 1
+
+
+def test_chunks_resist_a_shift(rows):
+    text = max((t or "" for _, t in rows), key=len).encode()
+    own, moved = (fingerprints.Chunks(t).weights() for t in (text, b"some new words " + text))
+    assert fingerprints.containment(own, moved) > 0.99
+
+
+def test_sentencepiece(docs, rows, nothing):
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    expected = Counter()
+    for doc_id, text in rows:
+        ids = library.encode(text or "")
+        expected[doc_id, len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids))] += 1
+    assert collected(encode_documents(docs, MODEL)) == expected
+    assert encode_documents(nothing, MODEL).count() == 0
+
+
+def test_sentencepiece_on_pieces_and_odd_characters():
+    library, own, rng = sentencepiece.SentencePieceProcessor(model_file=MODEL), codec(MODEL), random.Random(1)
+    pieces = sorted(own.ids)
+    for i in range(4000):
+        chars = "abcthe  \n\t.,▁éñ12中\U0001f600\x00²'"
+        parts = [rng.choice(chars if i % 2 else pieces).replace("▁", " ") for _ in range(rng.randint(0, 14))]
+        text = "".join(parts)
+        ids = library.encode(text)
+        assert own.encode(text) == ids and own.decode(ids) == library.decode(ids)
+    assert own.encode("the" * 30_000) == library.encode("the" * 30_000)
+
+
+NOTICES = [
+    (1, "Foo\nReleased under the MIT License. bar"),
+    (2, "This work is licensed under the GNU General Public License, version 3."),
+    (3, "All Rights Reserved cc-by CC BY all rights reserved"),
+    (4, "the mit of license"),
+    (5, None),
+    (6, "licensed under the Apache License, Version 2.0."),
+    (6, "General! Public; License"),
+]
+
+
+def test_licenses(spark, nothing):
+    found = {(r.doc_id, r.n_words): r for r in scan_licenses(spark.createDataFrame(NOTICES, "doc_id int, text string")).collect()}
+    phrases = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+    for doc_id, text in NOTICES:
+        lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
+        places = [(i, v) for p, v in phrases.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+        row = found[doc_id, len(words)]
+        assert row.n_base == len(places) and row.base_labels == ",".join(sorted({v for _, v in places}))
+        assert row.first_word == min((i for i, _ in places), default=None)
+        assert row.last_word == max((i for i, _ in places), default=None)
+    assert found[1, 7].labels == "mit" and found[4, 4].labels == "" and found[5, 0].score == 0.0
+    assert found[2, 12].labels == "gpl,gpl-3.0" and found[6, 8].labels == "apache-2.0"
+    assert scan_licenses(nothing).count() == 0
+
+
+def brute_spans(text):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        out += [("ip", *m.span())] * all(int(p) <= 255 for p in m.group().split("."))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = re.sub("[^0-9]", "", m.group())
+        out += [("card", *m.span())] * (13 <= len(digits) <= 19 and luhn(digits))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        out += [("phone", *m.span())] * (9 <= len(re.sub("[^0-9]", "", m.group())) <= 15)
+    return out
+
+
+def test_personal_data(spark, docs, rows, nothing):
+    rng = random.Random(2)
+    for _ in range(4000):
+        text = "".join(rng.choice("a1@.@-+ 23(4%x5é") for _ in range(rng.randint(0, 40)))
+        assert brute_spans(text) == [s[:3] for s in find_spans(text) if s[0] in ("email", "ip", "card", "phone")]
+    assert luhn("4111111111111111") and not luhn("4111111111111112")
+    assert mod97("GB82WEST12345698765432") and not mod97("GB82WEST12345698765433")
+    text = "card 4111 1111 1111 1111, iban GB82 WEST 1234 5698 7654 32 to a.b@c.de or 10.0.0.1"
+    assert redacted(text) == "card [CARD], iban [IBAN] to [EMAIL] or [IP]"
+    assert redacted(None) is None and redacted("") == ""
+    frame = spark.createDataFrame([(1, text), (2, None), (2, None)], "doc_id bigint, text string")
+    found = personal_data(frame).collect()
+    assert sorted(r.doc_id for r in found) == [1, 2, 2]
+    row = next(r for r in found if r.doc_id == 1)
+    base = sorted(brute_spans(text), key=lambda s: (("email", "ip", "card", "phone").index(s[0]), s[1]))
+    assert row.base_sha256 == sha(",".join(f"{k}:{a}:{b}" for k, a, b in base))
+    assert personal_data(docs).count() == len(rows) and personal_data(nothing).count() == 0
+
+
+def test_decontamination(spark, docs, nothing):
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(5000)}" for _ in range(2000)]
+    items = [(i, " ".join(words[i * 40 : i * 40 + 30])) for i in range(20)] + [(90, "short one here"), (91, None), (92, "")]
+    changed = words[80:110]
+    changed[5], changed[17] = "other", "another"
+    texts = [
+        (1, f"before {items[0][1].upper()}, after"),
+        (2, "x " + " ".join(changed)),
+        (3, " ".join(words[40:52])),
+        (4, " ".join(f"v{i}" for i in range(400))),
+        (5, "A short one, here!"),
+        (6, None),
+        (7, ""),
+    ]
+    frame = spark.createDataFrame([*texts, texts[0]], "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = Counter((r.doc_id, r.item_id) for r in decontamination.contaminated(frame, bench).collect())
+    assert found == Counter({(1, 0): 2, (2, 2): 1, (5, 90): 1})
+    assert sorted(r.doc_id for r in decontamination.without_contaminated(frame, bench).collect()) == [3, 4, 6, 7]
+    blocks = list(decontamination.blocks_of(bench, 100))
+    assert sum(len(b.items) for b in blocks) == len(items) and len(blocks) > 5
+    assert decontamination.contaminated(frame, bench.limit(0)).count() == 0
+    assert decontamination.contaminated(nothing, bench).count() == 0
+
+
+def area_under_curve(labels, scores):
+    good, bad = ([s for s, v in zip(scores, labels) if v == k] for k in (1, 0))
+    return np.mean([(g > b) + (g == b) / 2 for g in good for b in bad])
+
+
+@pytest.mark.parametrize(("query", "label", "by", "at", "least"), [
+    (queries.op1_toxicity, "toxic", 4, 2, 0.75), (queries.op9_quality, "quality", 5, 0, 0.85)
+])
+def test_classifiers_on_held_out_rows(spark, query, label, by, at, least):
+    where = "/root/testdata/sf0.01"
+    found = query(spark, where).collect()
+    labels = {r.doc_id: r[label] for r in spark.read.parquet(f"{where}/labels.parquet").collect()}
+    assert len(found) == spark.read.parquet(f"{where}/documents.parquet").count()
+    for r in found:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % by == at)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
+    tested = [r for r in found if r.held_out and r.doc_id in labels]
+    assert area_under_curve([labels[r.doc_id] for r in tested], [r.score for r in tested]) > least
+
+
+def test_classifiers_on_odd_tables(spark, docs, rows, nothing):
+    labels = spark.createDataFrame([(0, 1, 1), (7, 0, 0), (None, 1, 0), (14, None, None)], "doc_id bigint, quality int, toxic int")
+    for module, score in ((toxicity, toxicity.score_toxicity), (quality, quality.score_quality)):
+        for table in (labels, labels.limit(0)):
+            assert score(docs, module.train(docs, table)).count() == len(rows)
+            assert score(nothing, module.train(nothing, table)).count() == 0
+
+
+def test_counterfactual_penalty_frees_group_terms():
+    rng = np.random.default_rng(3)
+    terms = toxicity._identity_hashes()
+    n_terms = [len(g) for g in toxicity.IDENTITY_TERMS]
+    rude, calm = rng.integers(1, 2**63, (2, 20), dtype=np.uint64)
+    examples = []
+    for i in range(600):
+        label = i % 2
+        named = np.array([0 if label else 1 + i % (n_terms[0] - 1)]) if rng.random() < 0.9 else np.empty(0, np.int64)
+        hashes = np.unique(np.concatenate([rng.choice(rude if label else calm, 3), terms[named]]))
+        examples.append(toxicity.Example(label, hashes, named))
+
+    def weight_of_first(penalty):
+        model = toxicity.fit(examples, penalty)
+        return abs(model.weights[np.searchsorted(model.hashes, terms[0])])
+
+    assert weight_of_first(5.0) < 0.1 * weight_of_first(0.0)
+
+
+def test_pipeline_stages(spark):
+    where = "/root/testdata/sf0.001"
+    assert [name for name, _ in corpus_pipeline.STAGES] == [
+        "quality_classifier", "simhash_near_dedup", "benchmark_decontamination", "pii", "sentencepiece"
+    ]
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    state = docs
+    for name, stage in corpus_pipeline.STAGES:
+        before, state = state, stage(spark, state, where).cache()
+        ids = {r.doc_id for r in before.select("doc_id").collect()}
+        kept = {r.doc_id for r in state.select("doc_id").collect()}
+        assert kept <= ids
+        if name != "sentencepiece":
+            assert state.columns == docs.columns
+        if name == "simhash_near_dedup":
+            assert kept == {r.component_id for r in simhash.group_documents(before).collect()}
+        if name in ("pii", "sentencepiece"):
+            assert kept == ids
+        if name == "pii":
+            assert not any(find_spans(r.text) for r in state.collect())
+    assert corpus_pipeline.run(spark, where).count() == state.count()
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), where).count() == 0
