@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hangstats.constants import DIMENSIONS, PREFIX_LENGTH, REPORT_REASON, THREAD_NAME
-from hangstats.sources.files import at_least_default_slices
 
 APP = "ExampleBrowser"
 
@@ -44,7 +43,7 @@ def event_lines(spark: SparkSession, sf_dir: str, numbered: bool = False) -> Dat
     given to a row by a task, a repeated task gives the same one.
     """
     table = spark.read.parquet(f"{sf_dir}/events.parquet")
-    events = at_least_default_slices(table.select("*", F.col("_metadata.row_index").alias("row")))
+    events = table.select("*", F.col("_metadata.row_index").alias("row"))
     base = events.selectExpr(
         "row",
         "event_id",

@@ -13,9 +13,9 @@ HISTOGRAM = "array<struct<label:string,count:bigint>>"
 
 
 def bin_edge(label: Column | str) -> Column:
-    """Lower edge as INT, NULL for a label that is no number."""
+    """Lower edge as BIGINT, NULL for a label that is no whole number."""
     column = F.col(label) if isinstance(label, str) else label
-    return column.try_cast("int")
+    return column.try_cast("bigint")
 
 
 def bin_midpoint(edge: Column | str) -> Column:
@@ -25,13 +25,12 @@ def bin_midpoint(edge: Column | str) -> Column:
 
 
 def weight_of(count: Column) -> Column:
-    """How many hangs a count stands for; NULL unless it is a positive INT."""
-    small = count.try_cast("int")
-    return F.when(small > 0, small.cast("bigint"))
+    """How many hangs a count stands for; NULL unless it is positive."""
+    return F.when(count > 0, count)
 
 
 def hang_weight(bins: Column | str) -> Column:
-    """Number of hangs in a histogram, whatever its labels say."""
+    """Number of hangs in a histogram, whatever its labels say; a sum beyond BIGINT stops the job."""
     return F.aggregate(
         bins,
         F.lit(0).cast("bigint"),

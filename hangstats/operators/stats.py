@@ -8,10 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_PER_OCTAVE = 64
-_FINE = 4096
-_BEYOND = 70000
-_FEW_GROUPS = 100_000
+#: Powers of two of DOUBLE values begin at -1074; what is beyond them sorts last.
+_LEAST_POWER, _BEYOND = 1100, 2200
+#: Bits of the fraction in the second and in the third key; the last key has the rest.
+_PART_BITS = (18, 35)
 
 
 def order_digits(frame: DataFrame, value: str) -> list[Column]:
@@ -19,8 +19,8 @@ def order_digits(frame: DataFrame, value: str) -> list[Column]:
 
     Sorting by the list sorts by the value, and each key has a limited number
     of values for one value of the keys before it: 65,536 for INT, about four
-    million for BIGINT; 140,000, then 8,192, then a sliver of the range for
-    DOUBLE.
+    million for BIGINT; for DOUBLE the power of two (about 4,400), then the
+    fraction in steps of 18, 17 and again about 17 bits.
     """
     kind = frame.schema[value].dataType.simpleString()
     column = F.col(value)
@@ -29,17 +29,16 @@ def order_digits(frame: DataFrame, value: str) -> list[Column]:
     if kind == "bigint":
         return [F.shiftright(column, 42), F.shiftright(column, 21), column]
     if kind in ("float", "double"):
-        size = F.abs(column.cast("double"))
-        octave = F.floor(F.log2(F.lit(1.0) + size) * _PER_OCTAVE)
-        coarse = F.when(F.isnan(column), F.lit(_BEYOND + 1)).otherwise(
-            F.least(octave, F.lit(_BEYOND))
-        )
-        low = F.pow(F.lit(2.0), coarse / _PER_OCTAVE) - 1
-        high = F.pow(F.lit(2.0), (coarse + 1) / _PER_OCTAVE) - 1
-        step = F.floor((size - low) / (high - low) * _FINE)
-        fine = F.least(F.greatest(step, F.lit(0)), F.lit(_FINE - 1))
-        sign = F.when(column < 0, F.lit(-1)).otherwise(F.lit(1))
-        return [sign * coarse, sign * fine, column]
+        value = column.cast("double")
+        size = F.abs(value)
+        odd = F.isnan(value) | (size == float("inf")) | (size == 0)
+        # Each step is monotone, so a rounded logarithm does no harm to the order.
+        power = F.when(F.isnan(value), F.lit(_BEYOND + 1)).when(size == float("inf"), F.lit(_BEYOND))
+        power = power.when(size == 0, F.lit(0)).otherwise(F.floor(F.log2(size)) + _LEAST_POWER)
+        part = F.when(odd, F.lit(0.0)).otherwise(size / F.pow(F.lit(2.0), power - _LEAST_POWER))
+        steps = [power, *(F.floor(part * (1 << bits)) for bits in _PART_BITS)]
+        sign = F.when(value < 0, F.lit(-1)).otherwise(F.lit(1))
+        return [*((sign * step).cast("bigint") for step in steps), column]
     raise ValueError(f"give the digits of {kind} column {value!r}")
 
 
@@ -49,7 +48,6 @@ def value_at_rank(
     digits: Sequence[Column],
     rank: Callable[[Column], Column],
     weight: Column | None = None,
-    few_groups: bool = False,
 ) -> DataFrame:
     """Exact order statistic per group without sorting a group in one task.
 
@@ -59,9 +57,6 @@ def value_at_rank(
     digit. ``rank`` maps the group's total weight to the 0-based rank. Returns
     ``by``, the digits as ``digit_0`` ..., and the total weight ``n``. A group
     whose rank lies outside its weight gives no row.
-
-    Set ``few_groups`` only where the number of groups is known to be small:
-    the one row per group is then broadcast to the rows of the next digit.
     """
     names = [f"digit_{i}" for i in range(len(digits))]
     weight = F.lit(1) if weight is None else weight
@@ -69,7 +64,6 @@ def value_at_rank(
         *by, *[d.alias(n) for d, n in zip(digits, names)], weight.cast("bigint").alias("_w")
     )
     whole = Window.partitionBy(*by)
-    few_groups = few_groups or not by  # without `by` there is one group
     found = None
     for depth, name in enumerate(names):
         known = [*by, *names[:depth]]
@@ -87,11 +81,8 @@ def value_at_rank(
             same = reduce(
                 lambda a, b: a & b, [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in known]
             )
-            if few_groups:
-                wanted = level.join(F.broadcast(target), same)
-                sums = wanted.groupBy(*known, name, "n", "_rank").agg(F.sum("_w").alias("_w"))
-            else:  # sums first, so that equal rows are not shuffled one by one
-                sums = level.groupBy(*known, name).agg(F.sum("_w").alias("_w")).join(target, same)
+            # Sums first, so that equal rows are not shuffled one by one.
+            sums = level.groupBy(*known, name).agg(F.sum("_w").alias("_w")).join(target, same)
         running = F.sum("_w").over(
             whole.orderBy(name).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
@@ -112,35 +103,23 @@ def value_at_rank(
     return found.drop("_rank")
 
 
-def has_few_groups(rows: DataFrame, by: Sequence[str], most: int = _FEW_GROUPS) -> bool:
-    """Whether one row per group is small enough to broadcast (runs a job)."""
-    return rows.select(*by).distinct().limit(most + 1).count() <= most
-
-
 def upper_median(
     rows: DataFrame,
     by: Sequence[str],
     value: str,
     weight: str | None = None,
-    few_groups: bool | None = None,
 ) -> DataFrame:
-    """Element ``n div 2`` (0-based) of each group's sorted values, and ``n``.
-
-    Unless told, a small job first finds out whether there are few groups.
-    """
+    """Element ``n div 2`` (0-based) of each group's sorted values, and ``n``."""
     digits = order_digits(rows, value)
     usable = rows.where(F.col(value).isNotNull())
     if weight:
         usable = usable.where(F.col(weight) > 0)
-    if few_groups is None:
-        few_groups = has_few_groups(usable, by)
     found = value_at_rank(
         usable,
         by,
         digits,
         lambda n: F.shiftright(n, 1),
         F.col(weight) if weight else None,
-        few_groups,
     )
     last = f"digit_{len(digits) - 1}"
     return found.select(*by, F.col(last).alias("median"), "n")

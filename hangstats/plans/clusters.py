@@ -11,8 +11,6 @@ from hangstats.functions.stacks import last_frame, normalize_frames, stack_text
 from hangstats.operators.ranking import rank_range, top_k, top_k_per_group, total, weighted_counts
 from hangstats.operators.reports import hang_rows
 
-_BROADCAST_FRAMES = 10_000
-
 
 def stack_counts(reports: DataFrame) -> DataFrame:
     """``(frame, stack, n)``: hangs per normalised, non-empty stack.
@@ -73,8 +71,6 @@ def hang_clusters(
         F.col("n").alias("_size"),
         F.try_divide(F.col("n").cast("double"), total(frames)).alias("share"),
     )
-    if limit <= _BROADCAST_FRAMES:  # at most `limit` rows
-        ranked = F.broadcast(ranked)
     listed = stacks.join(ranked, F.col("frame").eqNullSafe(F.col("_frame")))
     top = top_k_per_group(listed, "frame", per_frame, "stack", rank="stack_rank")
     return top.select(

@@ -103,7 +103,6 @@ def plugin_hang_median(reports: DataFrame, prefix: str = PLUGIN_PREFIX) -> DataF
         digits,
         lambda n: F.shiftright(n, 1),
         F.col("weight"),
-        few_groups=True,  # three classes
     )
     n, median = F.col("n"), bin_midpoint(f"digit_{len(digits) - 1}")
     row = found.agg(

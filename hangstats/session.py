@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -36,9 +35,7 @@ def build_session(app: str = "hangstats", master: str | None = None, **conf: str
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder path below the shared folder the cluster names.
 
-    Only a session that names none gets a local temporary folder.
+    A session that names none uses its warehouse, which all machines share too.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="hangstats-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/hangstats-{label}-{uuid.uuid4().hex}"

@@ -27,12 +27,6 @@ def read_slices(files: int, default_parallelism: int) -> int:
     return max(files // FILES_PER_SLICE, default_parallelism)
 
 
-def at_least_default_slices(frame: DataFrame) -> DataFrame:
-    """Deal the rows of a small scan to all cores; a larger one stays as it is."""
-    wanted = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(wanted) if frame.rdd.getNumPartitions() < wanted else frame
-
-
 def _scan(spark: SparkSession, root: str, compressed: bool, contents: bool = True) -> DataFrame:
     """Files with their dimensions; the schema is given so that these stay text."""
     dimensions = [f"`{name}` string" for name in DIMENSIONS]
@@ -103,17 +97,21 @@ def line_decoder(column: int, chunk: int = _CHUNK) -> Callable:
                 return pa.array([line.decode("utf-8", "replace") for line in lines], pa.string())
 
         def pieces(content: pa.BufferReader) -> Iterator[list[bytes]]:
-            rest = b""
+            begun: list[bytes] = []  # pieces of a line whose end has not come yet
+            half = b""  # a final \r may be half of \r\n, so it waits
             with lzma.open(content) as stream:
                 while piece := stream.read(chunk):
-                    rest += piece
-                    # A final \r may be half of \r\n, so it waits.
-                    cut = max(rest.rfind(b"\n"), rest.rfind(b"\r", 0, len(rest) - 1)) + 1
+                    piece = half + piece
+                    half = b"\r" if piece.endswith(b"\r") else b""
+                    piece = piece.removesuffix(half) if half else piece
+                    cut = max(piece.rfind(b"\n"), piece.rfind(b"\r")) + 1
                     if cut:
-                        yield rest[:cut].splitlines()
-                        rest = rest[cut:]
-            if rest:
-                yield rest.splitlines()
+                        yield b"".join([*begun, piece[:cut]]).splitlines()
+                        begun = []
+                    if cut < len(piece):
+                        begun.append(piece[cut:])
+            if begun or half:
+                yield b"".join([*begun, half]).splitlines()
 
         for batch in batches:
             for row in range(batch.num_rows):

@@ -50,9 +50,9 @@ def test_zip_arrays_stops_at_the_shortest(spark):
 
 def test_bins(spark):
     data = spark.createDataFrame([("8",), ("abc",), ("1.5",), ("99999999999",)], "label string")
-    assert values(data.select(histograms.bin_edge("label"))) == [8, None, None, None]
+    assert values(data.select(histograms.bin_edge("label"))) == [8, None, None, 99999999999]
     edges = data.select(histograms.bin_edge("label").alias("e"))
-    assert values(edges.select(histograms.bin_midpoint("e"))) == [12.0, None, None, None]
+    assert values(edges.select(histograms.bin_midpoint("e"))) == [12.0, None, None, 149999999998.5]
 
 
 def test_totals_in_the_row(spark):
@@ -74,4 +74,10 @@ def test_counts_beyond_the_integer_range_do_not_overflow(spark):
     big = 2**63 - 1
     data = spark.createDataFrame([([("1", big), ("2", big)],)], "bins " + histograms.HISTOGRAM)
     assert values(data.select(histograms.count_total("bins"))) == [2.0 * big]
-    assert values(data.select(histograms.hang_weight("bins"))) == [0]
+
+
+def test_counts_and_labels_beyond_int_count(spark):
+    data = spark.createDataFrame([([("1", 3_000_000_000), ("5000000000", 2)],)], "bins " + histograms.HISTOGRAM)
+    assert values(data.select(histograms.hang_weight("bins"))) == [3_000_000_002]
+    moments = data.select(histograms.hang_moments("bins").alias("m")).select("m.*").first()
+    assert (moments.n, moments.sum_t) == (3_000_000_002, 1.5 * 3_000_000_000 + 2 * 7.5e9)

@@ -13,7 +13,6 @@ from hangstats.catalog.layouts import arrow_uri
 from hangstats.constants import DIMENSIONS
 from hangstats.session import scratch_dir
 from hangstats.sources.files import (
-    at_least_default_slices,
     file_catalog,
     line_decoder,
     read_slices,
@@ -172,10 +171,17 @@ def test_slices(spark, root):
     assert spread.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     half = hs.read_lines(spark, root, fraction=0.5, spread=True)
     assert half.count() == 7
-    small = at_least_default_slices(spark.range(10).coalesce(1))
-    assert small.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    large = spark.range(0, 10, 1, 20)
-    assert at_least_default_slices(large) is large
+
+def test_long_line_over_many_pieces():
+    import lzma
+
+    import pyarrow as pa
+
+    text = b"x" * 100_000 + b"\r\n" + b"y" * 50_000 + b"\rz\r"
+    batch = pa.RecordBatch.from_pydict({"value": pa.array([lzma.compress(text)], pa.binary())})
+    for chunk in (1, 7, 1000):
+        lines = [x for b in line_decoder(0, chunk)(iter([batch])) for x in b.column(0).to_pylist()]
+        assert lines == ["x" * 100_000, "y" * 50_000, "z"]
 
 
 def test_arrow_paths(spark):
