@@ -39,7 +39,7 @@ def stage_table(frame: DataFrame, label: str) -> DataFrame:
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/hangstats-llm-{label}-{uuid.uuid4().hex}"
     with _shuffle_files_dropped(spark):
-        frame.write.parquet(path)
+        frame.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
