@@ -18,6 +18,7 @@ from hangstats.llm import decontamination, fingerprints, quality, queries, simha
 from hangstats.llm.components import components
 from hangstats.llm.licenses import scan_licenses
 from hangstats.llm.personal_data import find_spans, luhn, mod97, personal_data, redacted
+from hangstats.llm.sampling import sample_ids
 from hangstats.llm.sentencepieces import codec, encode_documents
 from hangstats.llm.substring_dedup import remove_repeated_words
 from hangstats.llm.suffix_dedup import remove_repeated_bytes
@@ -300,6 +301,16 @@ def test_classifiers_on_held_out_rows(spark, query, label, by, at, least):
     assert area_under_curve([labels[r.doc_id] for r in tested], [r.score for r in tested]) > least
 
 
+def test_sample_is_bounded_and_ignores_layout(spark):
+    ids = spark.range(50_000).select(F.col("id").alias("doc_id"))
+    hot = ids.unionByName(spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id")))
+    whole = {r[0] for r in sample_ids(ids, 500).collect()}
+    assert len(whole) == 500 and whole == {r[0] for r in sample_ids(ids.repartition(97), 500).collect()}
+    found = [r[0] for r in sample_ids(hot, 500).collect()]
+    assert len(found) == len(set(found)) == 500
+    assert sample_ids(ids.limit(30), 500).count() == 30 and sample_ids(ids.filter("false"), 500).count() == 0
+
+
 def test_classifiers_on_odd_tables(spark, docs, rows, nothing):
     labels = spark.createDataFrame([(0, 1, 1), (7, 0, 0), (None, 1, 0), (14, None, None)], "doc_id bigint, quality int, toxic int")
     for module, score in ((toxicity, toxicity.score_toxicity), (quality, quality.score_quality)):
