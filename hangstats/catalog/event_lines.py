@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from hangstats.constants import DIMENSIONS, PREFIX_LENGTH, REPORT_REASON, THREAD_NAME
 
 APP = "ExampleBrowser"
+#: Events of so many consecutive ids share a report file of their directory.
+FILE_EVENTS = 100_000
 
 # Event attributes and dimensions; valid in both engines.
 _DIMENSION_SQL = f"""
@@ -39,8 +41,9 @@ _NEEDLE = "flashVersion"
 def event_lines(spark: SparkSession, sf_dir: str, numbered: bool = False) -> DataFrame:
     """``value`` and the dimension columns, one row per event.
 
-    ``numbered`` adds ``row``, the position in the table's file: unlike a number
-    given to a row by a task, a repeated task gives the same one.
+    ``numbered`` adds ``row``, the position in the table's file (unlike a number
+    given to a row by a task, a repeated task gives the same one), and ``block``,
+    the number of the report file within its directory.
     """
     table = spark.read.parquet(f"{sf_dir}/events.parquet")
     events = table.select("*", F.col("_metadata.row_index").alias("row"))
@@ -91,7 +94,7 @@ def event_lines(spark: SparkSession, sf_dir: str, numbered: bool = False) -> Dat
     built = base.selectExpr("*", hangs).selectExpr("*", line).selectExpr("*", value_sql)
     # A generator, so that predicates on a line stay above its construction,
     # as they would above a file scan.
-    kept = _split_columns(_DIMENSION_SQL) + (["row"] if numbered else [])
+    kept = _split_columns(_DIMENSION_SQL) + (["row", f"event_id div {FILE_EVENTS} as block"] if numbered else [])
     return built.selectExpr("explode_outer(array(text)) as value", *kept)
 
 
@@ -105,15 +108,30 @@ def _split_columns(sql: str) -> list[str]:
     return found
 
 
-def hang_sql() -> str:
-    """CTEs for DuckDB: base, thread, hang, bin - what the lines hold after parsing."""
+def sample_sql(where: str, fraction: float) -> str:
+    """CTEs that make ``ping`` of ``every_ping``: what the first files hold, by directory and name."""
+    folders = ", ".join(f"concat('{name}=', {name})" for name in DIMENSIONS)
+    path = f"concat_ws('/', {folders}, lpad(cast(event_id // {FILE_EVENTS} as varchar), 8, '0'))"
+    return f"""
+file as (
+    select path, row_number() over (order by path) as r, count(*) over () as n
+    from (select distinct {path} as path from every_ping where {where})),
+ping as (
+    from every_ping where {path} in (select path from file where r <= floor(n * {fraction}::double)))"""
+
+
+def hang_sql(pings: str = "ping as (from every_ping)") -> str:
+    """CTEs for DuckDB: base, thread, hang, bin - what the lines hold after parsing.
+
+    ``pings``: CTEs that choose ``ping`` from ``every_ping``.
+    """
     return f"""
 base as (
     select event_id, event_type, value, strftime(ts, '%Y%m%d') as d,
            cast(hour(ts) * 60 + minute(ts) as bigint) as mn,
            cast(props::json->>'$.k' as int) as k
     from events),
-ping as (
+every_ping as (
     select *, {_DIMENSION_SQL},
            lpad(cast(event_id as varchar), {PREFIX_LENGTH - 1}, '0') as ping_id,
            {_LINE_STATE_SQL} as state,
@@ -121,6 +139,7 @@ ping as (
            case when k between 40 and 45 then null else mn end as uptime,
            k < 60 and {_LINE_STATE_SQL} in ('good', 'no_threads') as has_needle
     from base),
+{pings},
 thread as (
     select *, 1 as thread_pos, 0 as first_hang, k % 4 as n_hangs from ping where state = 'good'
     union all

@@ -29,7 +29,7 @@ def _placed(lines: DataFrame) -> DataFrame:
 
 
 def lzma_writer(root: str, columns: list[str], dimensions: list[str]) -> Callable:
-    """Sorted lines to one LZMA file per task and directory; yields the names.
+    """Sorted lines to one LZMA file for each directory and ``block``; yields the names.
 
     A file gets its name when it is complete, so a repeated task replaces it.
     """
@@ -41,30 +41,29 @@ def lzma_writer(root: str, columns: list[str], dimensions: list[str]) -> Callabl
         from pyarrow import fs
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
         attempt = TaskContext.get().taskAttemptId()
         files, base = fs.FileSystem.from_uri(root)
-        current = stream = packer = None
+        current = stream = packer = folder = None
 
         def close() -> str:
             stream.write(packer.flush())
             stream.close()
-            target = f"{current}/part-{part:05d}.lzma"
+            target = f"{folder}/part-{current[-1]:08d}.lzma"
             if files.get_file_info(target).type != fs.FileType.NotFound:
                 files.delete_file(target)
-            files.move(f"{current}/_part-{attempt}", target)
+            files.move(f"{folder}/_part-{attempt}", target)
             return target
 
         for batch in batches:
             frame = {name: batch.column(columns.index(name)).to_pylist() for name in columns}
-            keys = zip(*[frame[name] for name in dimensions])
+            keys = zip(*[frame[name] for name in (*dimensions, "block")])
             done = []
             for line, key in zip(frame["value"], keys):
-                folder = "/".join([base, *[f"{n}={v}" for n, v in zip(dimensions, key)]])
-                if folder != current:
+                if key != current:
                     if stream is not None:
                         done.append(close())
-                    current = folder
+                    current = key
+                    folder = "/".join([base, *[f"{n}={v}" for n, v in zip(dimensions, key)]])
                     files.create_dir(folder, recursive=True)
                     stream = files.open_output_stream(f"{folder}/_part-{attempt}")
                     packer = lzma.LZMACompressor(format=lzma.FORMAT_ALONE, preset=0)
@@ -87,10 +86,15 @@ def arrow_uri(spark: SparkSession, path: str) -> str:
 
 
 def write_lzma_layout(lines: DataFrame, root: str) -> int:
-    """LZMA line files below dimension directories; returns how many."""
-    columns = ["value", *DIMENSIONS]
+    """LZMA line files below dimension directories; returns how many.
+
+    Ranges end between files, so a file is written by one task; a directory with
+    many lines has many files.
+    """
+    columns = ["value", *DIMENSIONS, "block"]
     target = arrow_uri(lines.sparkSession, root)
-    ordered = _placed(lines).sortWithinPartitions(*DIMENSIONS)
+    ranged = lines.select(columns).repartitionByRange(*DIMENSIONS, "block")
+    ordered = ranged.sortWithinPartitions(*DIMENSIONS, "block")
     return ordered.mapInArrow(
         lzma_writer(target, columns, list(DIMENSIONS)), "path string"
     ).count()

@@ -2,22 +2,24 @@
 
 Each function gets (spark, sf_dir). The SQL in its decorator is what DuckDB
 computes from the tables for the same question; ``{hangs}`` stands for the
-common table expressions of :func:`event_lines.hang_sql`.
+common table expressions of :func:`event_lines.hang_sql`, ``{sample}`` for those
+of the first tenth of the selected files.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hangstats.catalog.event_lines import APP, event_lines, hang_sql
+from hangstats.catalog.event_lines import APP, event_lines, hang_sql, sample_sql
 from hangstats.catalog.layouts import layout
 from hangstats.constants import DIMENSIONS
 from hangstats.functions import stacks, variants
 from hangstats.functions.histograms import hang_moments
-from hangstats.operators.ranking import rank_range, weighted_counts
+from hangstats.operators.ranking import rank_range
 from hangstats.operators.reports import (
     hang_rows,
     histogram_rows,
@@ -37,6 +39,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+_TEMPLATES: dict[str, str] = {}
+
+_FRACTION = 0.1
+_NIGHTLY = f"reason = 'saved-session' and appName = '{APP}' and appUpdateChannel = 'nightly'"
 
 _STACKS = """
 weighed as (
@@ -74,7 +80,9 @@ def register(sql: str) -> Callable[[Query], Query]:
     def add(query: Query) -> Query:
         name = query.__name__.removesuffix("_query")
         QUERIES[name] = query
-        ORACLES[name] = sql.replace("{hangs}", hang_sql()).strip()
+        _TEMPLATES[name] = sql
+        sample = hang_sql(sample_sql(_NIGHTLY, _FRACTION))
+        ORACLES[name] = sql.replace("{hangs}", hang_sql()).replace("{sample}", sample).strip()
         return query
 
     return add
@@ -141,18 +149,32 @@ def ping_filter_wildcard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dimension_counts(chosen.apply(event_lines(spark, sf_dir)))
 
 
-@register("""
-with {hangs}
-select ping_id, submission_date from ping where appName = 'NoSuchBrowser'
+@register(f"""
+with {{hangs}}
+select 'no such app' as selection, count(*) as n from ping where appName = 'NoSuchBrowser'
+union all
+select 'no such version', count(*) from ping where {_NIGHTLY} and appVersion = '99.0'
+union all
+select 'nightly', count(*) from ping where {_NIGHTLY}
+union all
+select 'until the tenth', count(*) from ping where {_NIGHTLY} and submission_date <= '20240110'
 """)
 def empty_selection_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read_lines(
-        spark,
-        layout(spark, sf_dir, "text"),
-        PingFilter("NoSuchBrowser", "nightly"),
-        compressed=False,
-    )
-    return lines.select(F.substring("value", 1, 36).alias("ping_id"), "submission_date")
+    """Selections without a match next to others of the same files."""
+    root = layout(spark, sf_dir, "text")
+    chosen = {
+        "no such app": PingFilter("NoSuchBrowser", "nightly"),
+        "no such version": PingFilter(APP, "nightly", "99.0"),
+        "nightly": PingFilter(APP, "nightly"),
+        "until the tenth": PingFilter(APP, "nightly", submission=("*", "20240110")),
+    }
+    counts = [
+        read_lines(spark, root, one, compressed=False).agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit(name).alias("selection"), "n"
+        )
+        for name, one in chosen.items()
+    ]
+    return functools.reduce(DataFrame.unionByName, counts)
 
 
 @register(f"""
@@ -554,3 +576,86 @@ where uptime is not null
 def session_hangs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.session_hangs(_reports(spark, sf_dir))
 
+
+
+@register("""
+with {hangs},
+counted as (
+    select event_id, thread_pos,
+           coalesce(list_sum(list_transform(bins, lambda e: e.cnt)), 0) as total
+    from any_hang where bins is not null),
+summed as (
+    select event_id, thread_pos, sum(total) filter (where total > 0) as hangs,
+           count(*) filter (where total <= 0) as invalid
+    from counted group by all)
+select cast(coalesce(hangs, 0) as double) as hangs, uptime, coalesce(invalid, 0) as invalid
+from thread left join summed using (event_id, thread_pos)
+where uptime is not null
+""")
+def session_hangs_checked_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.session_hangs_checked(_reports(spark, sf_dir))
+
+
+@register(f"""
+with {{hangs}}, {_STACKS}
+select rank, frame, any_value(f.n) as n, any_value(share) as share,
+       string_agg(array_to_string(stack, ' > '), ' | ' order by stack_rank) as stacks,
+       max(frequency) as first_frequency
+from shares f join ranked_stacks s using (frame)
+where rank between 2 and 15 and stack_rank <= 3
+group by rank, frame
+""")
+def hang_clusters_nested_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested report, its array of stacks as text."""
+    return clusters.hang_clusters_nested(_reports(spark, sf_dir)).select(
+        "rank",
+        "frame",
+        "n",
+        "share",
+        F.array_join(F.transform("stacks", lambda s: s["stack"]), " | ").alias("stacks"),
+        F.col("stacks")[0]["frequency"].alias("first_frequency"),
+    )
+
+
+# --- from files to report: selection, fraction of the files, LZMA, analysis -----
+
+
+def _nightly_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = PingFilter(APP, "nightly")
+    return read_lines(spark, layout(spark, sf_dir, "lzma"), chosen, fraction=_FRACTION)
+
+
+def _nightly_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_reports(_nightly_lines(spark, sf_dir)).drop(*DIMENSIONS)
+
+
+def _sampled(name: str) -> str:
+    return _TEMPLATES[name].replace("{hangs}", "{sample}")
+
+
+@register("""
+with {sample}
+select appVersion, appBuildID, submission_date, count(*) as n from ping group by all
+""")
+def file_fraction_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dimension_counts(_nightly_lines(spark, sf_dir))
+
+
+@register(_sampled("hang_clusters"))
+def nightly_hang_clusters_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.hang_clusters(_nightly_reports(spark, sf_dir))
+
+
+@register(_sampled("plugin_hang_stats"))
+def nightly_plugin_hang_stats_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plugins.plugin_hang_stats(_nightly_reports(spark, sf_dir))
+
+
+@register(_sampled("plugin_hang_median"))
+def nightly_plugin_hang_median_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plugins.plugin_hang_median(_nightly_reports(spark, sf_dir))
+
+
+@register(_sampled("session_hangs"))
+def nightly_session_hangs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.session_hangs(_nightly_reports(spark, sf_dir))

@@ -39,6 +39,18 @@ def session_hangs(reports: DataFrame, strict: bool = False) -> DataFrame:
     return _threads(reports, "uptime").select(hangs.alias("hangs"), "uptime")
 
 
+def session_hangs_checked(reports: DataFrame) -> DataFrame:
+    """:func:`session_hangs` with ``invalid``: how many hangs of the session it leaves out."""
+    totals = _threads(reports, "uptime").select("uptime", _totals("thread.hangs").alias("totals"))
+    positive = F.filter("totals", lambda value: value > 0)
+    left_out = F.filter("totals", lambda value: value <= 0)
+    return totals.select(
+        F.aggregate(positive, F.lit(0.0), lambda acc, value: acc + value).alias("hangs"),
+        "uptime",
+        F.size(left_out).cast("long").alias("invalid"),
+    )
+
+
 def invalid_hangs(reports: DataFrame) -> DataFrame:
     """``(hangs, invalid)``: all hangs of sessions, and those without a positive count."""
     totals = _threads(reports, "uptime").select(_totals("thread.hangs").alias("totals"))
