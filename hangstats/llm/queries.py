@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from hangstats.llm import quality, toxicity
 from hangstats.llm.common import read_table
 from hangstats.llm.decontamination import contaminated
+from hangstats.llm.filter_audit import audit_filters, bucket_count, documents_stream
 from hangstats.llm.fingerprints import fingerprint_neighbours
 from hangstats.llm.licenses import scan_licenses
 from hangstats.llm.personal_data import personal_data
@@ -76,6 +77,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sf_dir}/documents.parquet"
+    return audit_filters(documents_stream(spark, path), read_table(spark, sf_dir, "labels"), bucket_count(spark, path))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_suffix_dedup,
         op9_quality,
         op10_decontamination,
+        op13_filter_audit,
     )
 }
 
@@ -114,4 +121,41 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(kept, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN counted USING (doc_id)
     """,
+    "op13_filter_audit": r"""
+        WITH d AS (
+          SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+                 regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+          FROM documents
+        ), l AS (
+          SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+        ), failing AS (
+          SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                 (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT
+                 + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t))::INT
+                 + 8 * regexp_matches(t, '[#$%&*|]')::INT
+                 + 16 * coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false)::INT AS fails
+          FROM d LEFT JOIN l USING (doc_id)
+        ), counters AS (
+          SELECT part, good, toxic, fails, count(*) AS n FROM failing GROUP BY ALL
+        ), letter AS (
+          SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+        ), orders AS (
+          SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letter a, letter b, letter c, letter d, letter e
+          WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+        ), steps AS (
+          SELECT filter_order, i::INT AS step, 1 << (ascii(filter_order[i]) - 65) AS bit,
+                 coalesce(list_sum([1 << (ascii(filter_order[j]) - 65) FOR j IN range(1, i)]), 0)::INT AS before
+          FROM orders, range(1, 6) r(i)
+        ), report AS (
+          SELECT part, filter_order, step, bit,
+                 coalesce(sum(n) FILTER (fails & (bit | before) = 0), 0)::BIGINT AS kept,
+                 coalesce(sum(n) FILTER (fails & bit <> 0 AND fails & before = 0), 0)::BIGINT AS removed,
+                 coalesce(sum(n) FILTER (fails & bit <> 0 AND fails & before <> 0), 0)::BIGINT AS redundant,
+                 coalesce(sum(n) FILTER (fails = bit), 0)::BIGINT AS unique_fails,
+                 coalesce(sum(n) FILTER (fails & bit <> 0 AND fails & before = 0 AND good), 0)::BIGINT AS good_lost,
+                 coalesce(sum(n) FILTER (fails & bit <> 0 AND fails & before = 0 AND toxic), 0)::BIGINT AS toxic_lost
+          FROM counters, steps GROUP BY ALL
+        )
+        SELECT * EXCLUDE (bit), (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM report
+    """,
 }
