@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hangstats.llm import quality, toxicity
+from hangstats.llm.collocations import collocations
 from hangstats.llm.common import read_table
 from hangstats.llm.decontamination import contaminated
 from hangstats.llm.filter_audit import audit_filters, bucket_count, documents_stream
@@ -77,6 +78,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/documents.parquet"
     return audit_filters(documents_stream(spark, path), read_table(spark, sf_dir, "labels"), bucket_count(spark, path))
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_suffix_dedup,
         op9_quality,
         op10_decontamination,
+        op11_collocations,
         op13_filter_audit,
     )
 }
@@ -121,6 +127,41 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(kept, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN counted USING (doc_id)
     """,
+    "op11_collocations": r"""
+        WITH piece AS (
+          SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+          FROM documents
+        ), w AS (
+          SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece
+        ), total AS (
+          SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang
+        ), gram AS (
+          SELECT lang, k, phrase, count(*) AS f FROM (
+            SELECT lang, k, unnest([array_to_string(w[i : i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS phrase
+            FROM w, range(1, 6) r(k) WHERE len(w) >= k)
+          GROUP BY ALL HAVING count(*) >= 100
+        ), candidate AS (
+          SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM gram WHERE k >= 2
+        ), around AS (
+          SELECT lang, phrase, max(a) AS a FROM (
+            SELECT lang, a, unnest([array_to_string(w[i : i + m - 1], ' ') FOR i IN range(1, k - m + 2)]) AS phrase
+            FROM candidate, range(2, 5) r(m) WHERE m < k)
+          GROUP BY ALL
+        ), kept AS (
+          SELECT c.* FROM candidate c LEFT JOIN around o USING (lang, phrase) WHERE o.a IS NULL OR o.a < c.a
+        ), cut AS (
+          SELECT lang, c.phrase, a, j, l.f AS l, r.f AS r, n, (1000 * a::HUGEINT * n) // (l.f::HUGEINT * r.f) AS score
+          FROM (SELECT *, unnest(range(1, k)) AS j FROM kept) c
+          JOIN gram l USING (lang) JOIN gram r USING (lang) JOIN total USING (lang)
+          WHERE l.phrase = array_to_string(w[1 : j], ' ') AND r.phrase = array_to_string(w[j + 1 : c.k], ' ')
+        ), lowest AS (
+          SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+               phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+        FROM lowest QUALIFY rank <= 2000
+    """,
     "op13_filter_audit": r"""
         WITH d AS (
           SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
