@@ -56,13 +56,11 @@ _GROUP = ["part", "fails", "good", "toxic"]
 #: Of one bucket: for each text its digest, smallest id, group (an index of ``groups``) and number of rows.
 _STATE = "high binary, low binary, least binary, at binary, n binary, groups string"
 _SETTINGS = {
-    # State beyond memory lives on disk; changes of a batch, not whole snapshots, go to the shared folder.
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     # Available-now runs end with the data: no further batch is needed to move a watermark.
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    # The state store is the session's choice. A text takes some 40 bytes in it; the default store has all of it in
+    # memory, once for each version kept, so one earlier version has to do.
+    "spark.sql.streaming.maxBatchesToRetainInMemory": "1",
 }
 
 
