@@ -15,6 +15,7 @@ from hangstats.llm.decontamination import contaminated
 from hangstats.llm.filter_audit import audit_filters, bucket_count, documents_stream
 from hangstats.llm.fingerprints import fingerprint_neighbours
 from hangstats.llm.licenses import scan_licenses
+from hangstats.llm.page_text import extract_pages
 from hangstats.llm.personal_data import personal_data
 from hangstats.llm.sampling import held_out
 from hangstats.llm.sentencepieces import encode_documents
@@ -82,6 +83,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(read_table(spark, sf_dir, "documents"))
 
 
+def op12_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/documents.parquet"
     return audit_filters(documents_stream(spark, path), read_table(spark, sf_dir, "labels"), bucket_count(spark, path))
@@ -101,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_quality,
         op10_decontamination,
         op11_collocations,
+        op12_page_text,
         op13_filter_audit,
     )
 }
