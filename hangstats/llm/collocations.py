@@ -12,9 +12,11 @@ prefixes and whose containers hold what follows them (up to five words in all):
 * each prefix partition merges its runs and counts the phrases of all lengths
   in one pass over the sorted entries.
 
-A phrase can only be frequent if its words are, so places of rarer words end an
-entry. They are told by a bitmap of fixed size: what it lets through by chance
-is counted and then found to be too rare. All counts are exact.
+A phrase can only be frequent if its words and its pairs of adjacent words are,
+so an entry ends where one is not. Frequent words are told by a bitmap of fixed
+size, frequent pairs by one made of saturating counters in hash buckets, whose
+number is bounded too: what they let through by chance is counted and then found
+to be too rare. All counts are exact.
 """
 
 from __future__ import annotations
@@ -41,6 +43,9 @@ RUN_POSITIONS = 1 << 20
 HOT_WORDS = 4096
 #: Bits of the bitmap of frequent words (2 MB, whatever the corpus).
 BITMAP_BITS = 1 << 24
+#: Buckets in which pairs are counted: one for so many words, within these bounds (at most 64 MB of a task, 4 MB sent).
+WORDS_PER_BUCKET, MIN_BUCKETS, MAX_BUCKETS = 16, 1 << 17, 1 << 25
+_RANGE = 1 << 17  # buckets of one row of a sketch
 #: Bytes of text that are cut into words together; distinct words counted in a task before they are handed on.
 _CUT_BYTES, _COUNTED = 1 << 20, 100_000
 _NO_LANGUAGE = "und"
@@ -142,23 +147,41 @@ def _added_up(columns: list[np.ndarray], counts: np.ndarray, shortest: np.ndarra
     return [c[starts] for c in columns], np.add.reduceat(counts, starts) if len(starts) else counts, shortest[starts]
 
 
-def _run(ids: np.ndarray, size: int, known: _Ids, hot: np.ndarray, partitions: int) -> Iterator[tuple[int, bytes]]:
+def _pair_buckets(ids: np.ndarray, hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of adjacent words, and the bucket of each pair."""
+    places = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+    pairs = mixed(hashes[ids[places]] * np.uint64(0x9E3779B97F4A7C15) + hashes[ids[places + 1]])
+    return places, (pairs & np.uint64(buckets - 1)).astype(np.int64)
+
+
+def _linked(ids: np.ndarray, hashes: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Whether the word at a place and the next one may be a frequent pair."""
+    linked = np.zeros(len(ids), dtype=bool)
+    places, bucket = _pair_buckets(ids, hashes, 8 * len(pairs))
+    linked[places] = (pairs[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1
+    return linked
+
+
+def _run(
+    ids: np.ndarray, size: int, known: _Ids, pairs: np.ndarray, hot: np.ndarray, partitions: int
+) -> Iterator[tuple[int, bytes]]:
     """The subtrees of the first ``size`` places in ``ids`` as sorted runs, one for each prefix partition.
 
     An entry is up to five word ids (0 after its end), a count, and the length
     of the shortest phrase it counts for.
     """
-    padded = np.concatenate([ids, np.zeros(MAX_WORDS - 1, ids.dtype)])
-    places = np.flatnonzero((padded[:size] > 0) & (padded[1 : size + 1] > 0))
+    hashes = np.array(known.hashes, dtype=np.uint64)
+    padded = np.concatenate([ids, np.zeros(MAX_WORDS, ids.dtype)])
+    linked = _linked(padded, hashes, pairs)
+    places = np.flatnonzero(linked[:size])
     if not len(places):
         return
     columns = [padded[places]]
     for k in range(1, MAX_WORDS):
-        columns.append(np.where(columns[-1] > 0, padded[places + k], 0))
+        columns.append(np.where((columns[-1] > 0) & linked[places + k - 1], padded[places + k], 0))
     ones = np.ones(len(places), np.int64)
     columns, counts, _ = _added_up(columns, ones, np.zeros(len(places), np.int8), len(known.words))
 
-    hashes = np.array(known.hashes, dtype=np.uint64)
     is_hot = np.isin(hashes, hot)
     is_hot[0] = False
     length = sum((c > 0).astype(np.int8) for c in columns)
@@ -210,52 +233,105 @@ def _unpacked(data: bytes) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, li
     return columns, counts, shortest, raw[at + 9 * rows :].split(b" ")
 
 
-def _spill_runs(frequent: np.ndarray, hot: np.ndarray, partitions: int, most: int):
-    """Arrow batches of texts to ``(partition, lang, run)``."""
+def _id_runs(
+    batches: Iterator[pa.RecordBatch], frequent: np.ndarray, most: int
+) -> Iterator[tuple[str, np.ndarray, int, _Ids]]:
+    """Texts as word ids of some ``most`` places: language, ids, how many of them are starts of phrases, the words.
+
+    The last ids of a text that goes on only follow others: they start the next run.
+    """
+    known: dict[str, _Ids] = {}
+    held: dict[str, list[np.ndarray]] = {}
+
+    def spill(within: str | None) -> Iterator[tuple[str, np.ndarray, int, _Ids]]:
+        kept: dict[str, list[bytes]] = {}
+        for lang, arrays in held.items():
+            ids = np.concatenate(arrays)
+            size = len(ids)
+            if lang == within:
+                size = max(size - (MAX_WORDS - 1), 0)
+                kept[lang] = [known[lang].words[i] or _BREAK for i in ids[size:]]
+            yield lang, ids, size, known[lang]
+        known.clear()
+        held.clear()
+        for lang, words in kept.items():
+            known[lang] = _Ids(lang, frequent)
+            held[lang] = [np.fromiter(map(known[lang].__getitem__, words), np.int32, len(words))]
+
+    places = 0
+    for batch in batches:
+        for lang, text in zip(batch.column("lang"), batch.column("text")):
+            lang = lang.as_py()
+            for tokens in _tokens(text.as_py()):
+                if lang not in known:
+                    known[lang], held[lang] = _Ids(lang, frequent), []
+                ids = np.fromiter(map(known[lang].__getitem__, tokens), np.int32, len(tokens))
+                held[lang].append(ids[ids >= 0])
+                places += len(held[lang][-1])
+                if places >= most:
+                    yield from spill(lang)
+                    places = sum(len(a) for arrays in held.values() for a in arrays)
+            if lang in held:
+                held[lang].append(np.zeros(1, np.int32))
+    yield from spill(None)
+
+
+def _sketch_pairs(frequent: np.ndarray, buckets: int, least: int, most: int):
+    """Arrow batches of texts to ``(range, counters)``: pairs of frequent words counted in buckets, up to ``least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, _Ids] = {}
-        held: dict[str, list[np.ndarray]] = {}
-
-        def spill(within: str | None) -> Iterator[pa.RecordBatch]:
-            """All places but the last of language ``within``, whose text goes on."""
-            kept: dict[str, list[bytes]] = {}
-            for lang, arrays in held.items():
-                ids = np.concatenate(arrays)
-                size = len(ids)
-                if lang == within:
-                    size = max(size - (MAX_WORDS - 1), 0)
-                    kept[lang] = [known[lang].words[i] or _BREAK for i in ids[size:]]
-                rows = list(_run(ids, size, known[lang], hot, partitions))
-                if rows:
-                    columns = [
-                        pa.array([p for p, _ in rows], pa.int32()),
-                        pa.array([lang] * len(rows), pa.string()),
-                        pa.array([r for _, r in rows], pa.binary()),
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, names=["partition", "lang", "run"])
-            known.clear()
-            held.clear()
-            for lang, words in kept.items():
-                known[lang] = _Ids(lang, frequent)
-                held[lang] = [np.fromiter(map(known[lang].__getitem__, words), np.int32, len(words))]
-
-        places = 0
+        counters = np.zeros(buckets, dtype=np.uint16)
+        for _, ids, size, known in _id_runs(batches, frequent, most):
+            places, bucket = _pair_buckets(ids, np.array(known.hashes, dtype=np.uint64), buckets)
+            found, n = np.unique(bucket[places < size], return_counts=True)
+            counters[found] = np.minimum(counters[found] + n, least)
+        for start in range(0, buckets, _RANGE):
+            part = counters[start : start + _RANGE]
+            if part.any():
+                packed = pa.compress(part.tobytes(), codec="zstd", asbytes=True)
+                columns = [pa.array([start // _RANGE], pa.int32()), pa.array([packed], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["range", "counters"])
+
+    return run
+
+
+def _add_sketches(least: int):
+    """Sorted ``(range, counters)`` to ``(range, bits)``: which buckets reach ``least``; one range is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def bits(at: int, total: np.ndarray) -> pa.RecordBatch:
+            packed = np.packbits(total >= least, bitorder="little").tobytes()
+            columns = [pa.array([at], pa.int32()), pa.array([packed], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["range", "bits"])
+
+        current, total = None, np.zeros(_RANGE, dtype=np.int64)
         for batch in batches:
-            for lang, text in zip(batch.column("lang"), batch.column("text")):
-                lang = lang.as_py()
-                for tokens in _tokens(text.as_py()):
-                    if lang not in known:
-                        known[lang], held[lang] = _Ids(lang, frequent), []
-                    ids = np.fromiter(map(known[lang].__getitem__, tokens), np.int32, len(tokens))
-                    held[lang].append(ids[ids >= 0])
-                    places += len(held[lang][-1])
-                    if places >= most:
-                        yield from spill(lang)
-                        places = sum(len(a) for arrays in held.values() for a in arrays)
-                if lang in held:
-                    held[lang].append(np.zeros(1, np.int32))
-        yield from spill(None)
+            for at, data in zip(batch.column("range").to_pylist(), batch.column("counters")):
+                if at != current:
+                    if current is not None:
+                        yield bits(current, total)
+                    current, total = at, np.zeros(_RANGE, dtype=np.int64)
+                raw = pa.decompress(data.as_buffer(), decompressed_size=2 * _RANGE, codec="zstd", asbytes=True)
+                total += np.frombuffer(raw, np.uint16)
+        if current is not None:
+            yield bits(current, total)
+
+    return run
+
+
+def _spill_runs(frequent: np.ndarray, pairs: np.ndarray, hot: np.ndarray, partitions: int, most: int):
+    """Arrow batches of texts to ``(partition, lang, run)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, ids, size, known in _id_runs(batches, frequent, most):
+            rows = list(_run(ids, size, known, pairs, hot, partitions))
+            if rows:
+                columns = [
+                    pa.array([p for p, _ in rows], pa.int32()),
+                    pa.array([lang] * len(rows), pa.string()),
+                    pa.array([r for _, r in rows], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["partition", "lang", "run"])
 
     return run
 
@@ -324,6 +400,24 @@ def _bitmap(words: DataFrame) -> np.ndarray:
     return bitmap
 
 
+def _frequent_pairs(texts: DataFrame, frequent: np.ndarray, total: int, least: int, run_positions: int) -> np.ndarray:
+    """Bits of the buckets whose pairs occur ``least`` times together."""
+    wanted = min(max(total // WORDS_PER_BUCKET, MIN_BUCKETS), MAX_BUCKETS)
+    buckets = 1 << (wanted - 1).bit_length()
+    least = min(least, 0xFFFF)  # (a lower bound only lets more through)
+    sketches = texts.mapInArrow(_sketch_pairs(frequent, buckets, least, run_positions), "range int, counters binary")
+    ranges = buckets // _RANGE
+    bits = (
+        sketches.repartition(ranges, "range")
+        .sortWithinPartitions("range")
+        .mapInArrow(_add_sketches(least), "range int, bits binary")
+    )
+    pairs = np.zeros((ranges, _RANGE >> 3), dtype=np.uint8)
+    for row in bits.toLocalIterator():
+        pairs[row["range"]] = np.frombuffer(row["bits"], np.uint8)
+    return pairs.reshape(-1)
+
+
 def frequent_phrases(docs: DataFrame, least: int = MIN_COUNT, run_positions: int = RUN_POSITIONS):
     """``(lang, k, phrase, f)`` of all phrases of 1 to 5 words with ``f >= least``, and ``(lang, n)``: all words."""
     texts = docs.select(
@@ -342,8 +436,10 @@ def frequent_phrases(docs: DataFrame, least: int = MIN_COUNT, run_positions: int
     hot = [r[0] for r in single.where(F.col("f") > hot_from).select(F.xxhash64("lang", "word")).collect()]
     hot = np.array([h & (1 << 64) - 1 for h in hot], dtype=np.uint64)
     partitions = max(16, -(-total // run_positions))
+    frequent = _bitmap(single)
+    pairs = _frequent_pairs(texts, frequent, total, least, run_positions)
     runs = texts.mapInArrow(
-        _spill_runs(_bitmap(single), hot, partitions, run_positions), "partition int, lang string, run binary"
+        _spill_runs(frequent, pairs, hot, partitions, run_positions), "partition int, lang string, run binary"
     )
     merged = (
         runs.repartition(partitions, "partition")
