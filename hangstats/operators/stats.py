@@ -8,99 +8,65 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Powers of two of DOUBLE values begin at -1074; what is beyond them sorts last.
-_LEAST_POWER, _BEYOND = 1100, 2200
-#: Bits of the fraction in the second and in the third key; the last key has the rest.
-_PART_BITS = (18, 35)
 
-
-def order_digits(frame: DataFrame, value: str) -> list[Column]:
-    """Order-preserving keys of a numeric column, coarse to exact.
-
-    Sorting by the list sorts by the value, and each key has a limited number
-    of values for one value of the keys before it: 65,536 for INT, about four
-    million for BIGINT; for DOUBLE the power of two (about 4,400), then the
-    fraction in steps of 18, 17 and again about 17 bits.
-    """
-    kind = frame.schema[value].dataType.simpleString()
-    column = F.col(value)
-    if kind in ("tinyint", "smallint", "int"):
-        return [F.shiftright(column.cast("int"), 16), column]
-    if kind == "bigint":
-        return [F.shiftright(column, 42), F.shiftright(column, 21), column]
-    if kind in ("float", "double"):
-        value = column.cast("double")
-        size = F.abs(value)
-        odd = F.isnan(value) | (size == float("inf")) | (size == 0)
-        # Each step is monotone, so a rounded logarithm does no harm to the order.
-        power = F.when(F.isnan(value), F.lit(_BEYOND + 1)).when(size == float("inf"), F.lit(_BEYOND))
-        power = power.when(size == 0, F.lit(0)).otherwise(F.floor(F.log2(size)) + _LEAST_POWER)
-        part = F.when(odd, F.lit(0.0)).otherwise(size / F.pow(F.lit(2.0), power - _LEAST_POWER))
-        steps = [power, *(F.floor(part * (1 << bits)) for bits in _PART_BITS)]
-        sign = F.when(value < 0, F.lit(-1)).otherwise(F.lit(1))
-        return [*((sign * step).cast("bigint") for step in steps), column]
-    raise ValueError(f"give the digits of {kind} column {value!r}")
+def _same(names: Sequence[str], other: Callable[[str], str]) -> Column:
+    """Null-safe equality, from which no filter is inferred: a filter on one use of a shuffle would make it two."""
+    return reduce(lambda a, b: a & b, [F.col(name).eqNullSafe(F.col(other(name))) for name in names])
 
 
 def value_at_rank(
     rows: DataFrame,
     by: Sequence[str],
-    digits: Sequence[Column],
+    keys: Sequence[Column],
     rank: Callable[[Column], Column],
     weight: Column | None = None,
+    ranges: int | None = None,
 ) -> DataFrame:
-    """Exact order statistic per group without sorting a group in one task.
-
-    ``digits`` are order-preserving keys, coarse to exact. Per digit the
-    weights are summed by key (with map-side partial sums), a running sum finds
-    the key that holds the wanted rank, and only its rows go on to the next
-    digit. ``rank`` maps the group's total weight to the 0-based rank. Returns
-    ``by``, the digits as ``digit_0`` ..., and the total weight ``n``. A group
-    whose rank lies outside its weight gives no row.
+    """Exact order statistic per group, for keys of any type Spark can sort, without a group in one task.
+
+    Weights are summed once by group and key. The sums are dealt to ``ranges``
+    ranges of (group, key), by default as many as the session shuffles to. A
+    small table of the weight of each group in each range tells in which range
+    the wanted rank lies; only there are running sums over single keys formed.
+    All uses read the same shuffle, so ``rows`` is read once.
+
+    ``rank`` maps the group's total weight to the 0-based rank. Returns ``by``,
+    the keys as ``key_0`` ..., and the total weight ``n``. A group whose rank
+    lies outside its weight gives no row.
     """
-    names = [f"digit_{i}" for i in range(len(digits))]
+    names = [f"key_{i}" for i in range(len(keys))]
+    ranges = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     weight = F.lit(1) if weight is None else weight
-    base = rows.select(
-        *by, *[d.alias(n) for d, n in zip(digits, names)], weight.cast("bigint").alias("_w")
+    sums = (
+        rows.select(*by, *[k.alias(n) for k, n in zip(keys, names)], weight.cast("bigint").alias("_w"))
+        .groupBy(*by, *names)
+        .agg(F.sum("_w").alias("_w"))
     )
-    whole = Window.partitionBy(*by)
-    found = None
-    for depth, name in enumerate(names):
-        known = [*by, *names[:depth]]
-        level = base.select(*known, name, "_w")
-        if found is None:
-            sums = level.groupBy(*known, name).agg(F.sum("_w").alias("_w"))
-            sums = sums.withColumn("n", F.sum("_w").over(whole))
-            sums = sums.withColumn("_rank", rank(F.col("n")).cast("bigint"))
-        else:
-            target = found.select(
-                *[F.col(key).alias(f"_{key}") for key in known], "n", "_rank"
-            )
-            # Null-safe, so that no filter on the keys is inferred below `rows`:
-            # all levels then share one scan or shuffle of them.
-            same = reduce(
-                lambda a, b: a & b, [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in known]
-            )
-            # Sums first, so that equal rows are not shuffled one by one.
-            sums = level.groupBy(*known, name).agg(F.sum("_w").alias("_w")).join(target, same)
-        running = F.sum("_w").over(
-            whole.orderBy(name).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        found = (
-            sums.withColumn("_running", running)
-            .where(
-                (F.col("_rank") >= 0)
-                & (F.col("_running") > F.col("_rank"))
-                & (F.col("_running") - F.col("_w") <= F.col("_rank"))
-            )
-            .select(
-                *known,
-                name,
-                "n",
-                (F.col("_rank") - (F.col("_running") - F.col("_w"))).alias("_rank"),
-            )
-        )
-    return found.drop("_rank")
+    # A given number of ranges is not merged by adaptive execution, so the number of a range means the same in each use.
+    ranged = sums.repartitionByRange(ranges, *by, *names).withColumn("_range", F.spark_partition_id())
+    group = Window.partitionBy(*by)
+    up_to_here = (Window.unboundedPreceding, Window.currentRow)
+
+    def holding_the_rank(frame: DataFrame, order: Sequence[str]) -> DataFrame:
+        upto = F.sum("_w").over(group.orderBy(*order).rowsBetween(*up_to_here))
+        within = (F.col("_rank") >= 0) & (F.col("_upto") > F.col("_rank")) & (F.col("_upto") - F.col("_w") <= F.col("_rank"))
+        return frame.withColumn("_upto", upto).where(within)
+
+    weights = ranged.groupBy(*by, "_range").agg(F.sum("_w").alias("_w"))
+    weights = weights.withColumn("n", F.sum("_w").over(group)).withColumn("_rank", rank(F.col("n")).cast("bigint"))
+    holders = holding_the_rank(weights, ["_range"]).select(
+        *[F.col(name).alias(f"_{name}") for name in by],
+        F.col("_range").alias("__range"),
+        F.col("_w").alias("_range_weight"),
+        "n",
+        (F.col("_rank") - (F.col("_upto") - F.col("_w"))).alias("_rank"),
+    )
+    inside = ranged.join(holders, _same([*by, "_range"], lambda name: f"_{name}"))
+    # Had a use been shuffled anew with other bounds, its weight would differ; that must not pass unseen.
+    seen = F.sum("_w").over(group)
+    wrong = F.raise_error(F.lit("ranges differ between two uses of one shuffle")).cast("boolean")
+    inside = inside.withColumn("_seen", seen).where(F.when(F.col("_seen") == F.col("_range_weight"), True).otherwise(wrong))
+    return holding_the_rank(inside, names).select(*by, *names, "n")
 
 
 def upper_median(
@@ -108,37 +74,27 @@ def upper_median(
     by: Sequence[str],
     value: str,
     weight: str | None = None,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Element ``n div 2`` (0-based) of each group's sorted values, and ``n``."""
-    digits = order_digits(rows, value)
     usable = rows.where(F.col(value).isNotNull())
     if weight:
         usable = usable.where(F.col(weight) > 0)
-    found = value_at_rank(
-        usable,
-        by,
-        digits,
-        lambda n: F.shiftright(n, 1),
-        F.col(weight) if weight else None,
-    )
-    last = f"digit_{len(digits) - 1}"
-    return found.select(*by, F.col(last).alias("median"), "n")
+    half = lambda n: F.shiftright(n, 1)
+    found = value_at_rank(usable, by, [F.col(value)], half, F.col(weight) if weight else None, ranges)
+    return found.select(*by, F.col("key_0").alias("median"), "n")
 
 
-def prefix_fraction(
-    rows: DataFrame, key: str, fraction: float, digits: Sequence[Column] | None = None
-) -> DataFrame:
+def prefix_fraction(rows: DataFrame, key: str, fraction: float, ranges: int | None = None) -> DataFrame:
     """Rows of the first ``floor(n * fraction)`` of the ``n`` units named by ``key``.
 
     A fixed prefix in key order, not a random sample. The last key kept is a
-    scalar subquery, so no key list passes through the driver or a join.
+    scalar subquery that reads the key column once; the rows are filtered by it
+    while they are scanned. No key list passes through the driver or a join.
     """
-    digits = list(digits) if digits is not None else order_digits(rows, key)
     units = rows.select(key).where(F.col(key).isNotNull()).distinct()
-    last = value_at_rank(
-        units, [], digits, lambda n: F.least(F.floor(n * F.lit(float(fraction))), n) - 1
-    )
-    bound = last.select(F.col(f"digit_{len(digits) - 1}")).scalar()
+    last_unit = lambda n: F.least(F.floor(n * F.lit(float(fraction))), n) - 1
+    bound = value_at_rank(units, [], [F.col(key)], last_unit, ranges=ranges).select("key_0").scalar()
     return rows.where(F.col(key) <= bound)
 
 

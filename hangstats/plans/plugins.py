@@ -18,7 +18,6 @@ from hangstats.operators.reports import hang_rows, histogram_rows
 from hangstats.operators.stats import (
     mean,
     moments,
-    order_digits,
     standard_error,
     value_at_rank,
 )
@@ -96,15 +95,8 @@ def plugin_hang_stats(reports: DataFrame, prefix: str = PLUGIN_PREFIX) -> DataFr
 def plugin_hang_median(reports: DataFrame, prefix: str = PLUGIN_PREFIX) -> DataFrame:
     """One row: counts, plugin ratio and upper median duration by class."""
     counts = duration_counts(reports, prefix)
-    digits = order_digits(counts, "bin")
-    found = value_at_rank(
-        counts,
-        ["class"],
-        digits,
-        lambda n: F.shiftright(n, 1),
-        F.col("weight"),
-    )
-    n, median = F.col("n"), bin_midpoint(f"digit_{len(digits) - 1}")
+    found = value_at_rank(counts, ["class"], [F.col("bin")], lambda n: F.shiftright(n, 1), F.col("weight"))
+    n, median = F.col("n"), bin_midpoint("key_0")
     row = found.agg(
         F.coalesce(F.max(_of(PING, n)), F.lit(0)).alias("pings_analyzed"),
         F.coalesce(F.max(_of(PLUGIN, n)), F.lit(0)).alias("n_plugin"),

@@ -1,7 +1,10 @@
 """Operators against brute force in Python."""
 
+import datetime
 import random
+import re
 from collections import Counter
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,6 +21,12 @@ def rows(frame):
 def make_values(kind, rng, n):
     if kind == "int":
         return [rng.choice([rng.randrange(-5, 5), rng.randrange(-(2**31), 2**31)]) for _ in range(n)]
+    if kind == "string":
+        return ["".join(rng.choices("ab\u00e9\U0001f600 ", k=rng.randrange(4))) for _ in range(n)]
+    if kind == "decimal(38,9)":
+        return [Decimal(rng.randrange(-(10**37), 10**37) if rng.random() < 0.5 else rng.randrange(9)).scaleb(-9) for _ in range(n)]
+    if kind == "date":
+        return [datetime.date(2024, 1, 1) + datetime.timedelta(rng.randrange(900)) for _ in range(n)]
     if kind == "bigint":
         return [rng.choice([rng.randrange(9), rng.randrange(-(2**63), 2**63)]) for _ in range(n)]
     return [
@@ -26,7 +35,10 @@ def make_values(kind, rng, n):
     ]
 
 
-@pytest.mark.parametrize("kind", ["int", "bigint", "double"])
+KINDS = ["int", "bigint", "double", "string", "decimal(38,9)", "date"]
+
+
+@pytest.mark.parametrize("kind", KINDS)
 def test_upper_median(spark, kind):
     rng = random.Random(7)
     data = []
@@ -38,27 +50,67 @@ def test_upper_median(spark, kind):
     frame = spark.createDataFrame(data, f"g int, v {kind}")
     expected = {}
     for group in {g for g, _ in data}:
+        # (texts sort by bytes, which is the order of code points)
         members = sorted(v for g, v in data if g == group and v is not None)
         expected[group] = (members[len(members) // 2], len(members))
     found = {r.g: (r["median"], r.n) for r in stats.upper_median(frame, ["g"], "v").collect()}
     assert found == expected
 
 
-def test_double_keys_split_narrow_and_tiny_values(spark):
-    for step, start in ((1e-12, 0.0), (1e-12, 1.0), (-1e-300, 0.0)):
-        frame = spark.range(20_000).selectExpr(f"{start}D + id * {step!r}D as v")
-        keys = stats.order_digits(frame, "v")
-        cells = frame.select(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
-        assert cells.groupBy("k0", "k1", "k2").count().agg({"count": "max"}).first()[0] <= 200
-        ordered = [r.v for r in frame.orderBy(*keys).collect()]
-        assert ordered == sorted(ordered)
-
-
-def test_double_keys_of_odd_values(spark):
+def test_median_of_odd_doubles(spark):
     values = [float("-inf"), -1e308, -1.0, -5e-324, 0.0, 5e-324, 1.0, 1e308, float("inf"), float("nan")]
-    frame = spark.createDataFrame([(v,) for v in reversed(values)], "v double")
-    found = [r.v for r in frame.orderBy(*stats.order_digits(frame, "v")[:-1]).collect()]
-    assert repr(found) == repr(values)
+    for n in range(1, len(values) + 1):
+        frame = spark.createDataFrame([(v,) for v in reversed(values[:n])], "v double")
+        (row,) = rows(stats.upper_median(frame, [], "v"))
+        assert repr(row) == repr((values[n // 2], n))
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 50])
+def test_rank_does_not_depend_on_the_ranges(spark, ranges):
+    rng = random.Random(ranges)
+    data = [(rng.choice("ab") if rng.random() < 0.9 else None, rng.randrange(60), rng.randrange(-1, 4)) for _ in range(500)]
+    frame = spark.createDataFrame(data, "g string, v int, w bigint")
+    for shift in (0, 1, 7, 100_000):
+        found = stats.value_at_rank(
+            frame.where("w > 0"), ["g"], [F.col("v") % 10, F.col("v")], lambda n: n - 1 - shift, F.col("w"), ranges
+        )
+        expected = set()
+        for group in ("a", "b", None):
+            members = sorted((v % 10, v) for g, v, w in data for _ in range(w) if g == group)
+            if shift < len(members):
+                expected.add((group, *members[len(members) - 1 - shift], len(members)))
+        assert set(rows(found)) == expected
+
+
+def test_a_large_group_is_in_no_single_window(spark):
+    """200,000 values of one group: no window task sees more than a few ranges of them."""
+    frame = spark.range(200_000).selectExpr("'one' as g", "(id * 7919) % 200000 as v")
+    found = stats.upper_median(frame, ["g"], "v", ranges=64)
+    plan = final_plan(found)
+    assert rows(found) == [("one", 100_000, 200_000)]
+    assert plan.count("Range (0, 200000") == 1
+    kept = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in kept
+    # The rows that reach the join's output are those of the one range that holds the rank.
+    sums = frame.groupBy("g", "v").count().repartitionByRange(64, "g", "v")
+    largest = sums.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert largest < 10_000
+
+
+def test_median_reads_its_input_once(spark, sf_dir):
+    rows_ = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    plan = final_plan(stats.upper_median(rows_, ["l_returnflag", "l_linestatus"], "l_extendedprice", "l_linenumber"))
+    assert plan.count("FileScan") == 1
+    assert "ReusedExchange" in plan
+
+
+def test_prefix_reads_the_key_column_and_the_rows(spark, sf_dir):
+    frame = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    plan = final_plan(stats.prefix_fraction(frame, "l_orderkey", 0.1).select("l_orderkey", "l_linenumber"))
+    schemas = Counter(re.findall(r"ReadSchema: (\S+)", plan))
+    assert schemas == {"struct<l_orderkey:bigint>": 1, "struct<l_orderkey:bigint,l_linenumber:bigint>": 1} or (
+        sum(schemas.values()) == 2 and "struct<l_orderkey:bigint>" in schemas
+    )
 
 
 def test_subtraction_counts_a_hot_row(spark):
@@ -93,23 +145,6 @@ def test_weighted_equals_replicated(spark):
     assert copies.count() == sum(max(w, 0) for _, _, w in data)
 
 
-def test_digits_sort_like_the_value(spark):
-    rng = random.Random(1)
-    specials = [0.0, -0.0, 1e-320, float("inf"), float("-inf"), 5e-324, 1.0, 3.0, -1.0, -3.0]
-    for kind in ("int", "bigint", "double"):
-        values = make_values(kind, rng, 2000) + (specials if kind == "double" else [])
-        frame = spark.createDataFrame([(v,) for v in values], f"v {kind}")
-        digits = [d.alias(f"d{i}") for i, d in enumerate(stats.order_digits(frame, "v"))]
-        found = rows(frame.select("v", *digits))
-        for left, right in zip(sorted(found), sorted(found)[1:]):
-            assert left[1:] <= right[1:]
-
-
-def test_no_digits_for_text(spark):
-    with pytest.raises(ValueError, match="digits"):
-        stats.order_digits(spark.createDataFrame([("a",)], "v string"), "v")
-
-
 @pytest.mark.parametrize("fraction", [0.0, 0.004, 0.1, 0.5, 0.999, 1.0, 1.7])
 def test_prefix_fraction(spark, fraction):
     rng = random.Random(2)
@@ -124,8 +159,7 @@ def test_prefix_fraction(spark, fraction):
 
 def test_prefix_fraction_of_text(spark):
     frame = spark.createDataFrame([(f"k{i:03d}",) for i in range(50)] * 2, "k string")
-    digits = [F.substring("k", 1, 2), F.col("k")]
-    kept = stats.prefix_fraction(frame, "k", 0.25, digits)
+    kept = stats.prefix_fraction(frame, "k", 0.25)
     assert Counter(r.k for r in kept.collect()) == {f"k{i:03d}": 2 for i in range(12)}
 
 
