@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hangstats.catalog.event_lines import event_lines
 from hangstats.constants import DIMENSIONS
 from hangstats.session import scratch_dir
+from hangstats.sources.listing import arrow_uri
 
 _written: dict[tuple[str, str, str], str] = {}
 
@@ -75,16 +76,6 @@ def lzma_writer(root: str, columns: list[str], dimensions: list[str]) -> Callabl
     return write
 
 
-def arrow_uri(spark: SparkSession, path: str) -> str:
-    """A path as Spark resolves it, in the spelling of Arrow's file systems."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    uri = hadoop.getFileSystem(conf).makeQualified(hadoop).toString()
-    if uri.startswith("file:"):
-        return "/" + uri.removeprefix("file:").lstrip("/")
-    return uri.replace("s3a://", "s3://", 1)
-
-
 def write_lzma_layout(lines: DataFrame, root: str) -> int:
     """LZMA line files below dimension directories; returns how many.
 

@@ -1,140 +1,39 @@
 """Reading report files.
 
 Layout: ``reason=/appName=/appUpdateChannel=/appVersion=/appBuildID=/
-submission_date=`` directories of line files. Selections on these columns are
-partition filters: other directories are never opened.
+submission_date=`` directories of line files. Directories that a selection does
+not hold are neither listed nor read.
 """
 
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from hangstats.constants import DIMENSIONS, FILES_PER_SLICE
-from hangstats.operators.stats import value_at_rank
+from pyspark.sql import DataFrame, SparkSession
+
+from hangstats.sources.line_source import SCHEMA, read_parts
+from hangstats.sources.listing import (
+    LZMA_ENDINGS,
+    ReportFile,
+    ReportTree,
+    arrow_uri,
+    head,
+    plan_slices,
+)
 from hangstats.sources.selection import PingFilter
 
-LZMA_FILES = "*.{lzma,xz}"
-_CHUNK = 4 * 1024 * 1024
-_FILE_FIELDS = "path string, modificationTime timestamp, length bigint, content binary"
-
-
-def read_slices(files: int, default_parallelism: int) -> int:
-    """How many slices a number of files is read in."""
-    return max(files // FILES_PER_SLICE, default_parallelism)
-
-
-def _scan(spark: SparkSession, root: str, compressed: bool, contents: bool = True) -> DataFrame:
-    """Files with their dimensions; the schema is given so that these stay text."""
-    dimensions = [f"`{name}` string" for name in DIMENSIONS]
-    if not compressed and contents:
-        return spark.read.schema(", ".join(["value string", *dimensions])).text(root)
-    reader = spark.read.format("binaryFile").schema(", ".join([_FILE_FIELDS, *dimensions]))
-    if compressed:
-        reader = reader.option("pathGlobFilter", LZMA_FILES)
-    return reader.load(root)
-
-
-def _path() -> Column:
-    return F.col("_metadata.file_path")
-
-
-def _directory(path: Column) -> Column:
-    return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
-
-
-def file_catalog(
-    spark: SparkSession, root: str, selection: PingFilter | None = None, compressed: bool = True
-) -> DataFrame:
-    """``(directory, path)`` of the selected files; no file is opened."""
-    scan = _scan(spark, root, compressed, contents=False)
-    if selection is not None:
-        scan = selection.apply(scan)
-    path = _path()
-    return scan.select(_directory(path).alias("directory"), path.alias("path"))
-
-
-def within_prefix(catalog: DataFrame, fraction: float) -> Column:
-    """True for the first ``floor(n * fraction)`` files in (directory, path) order.
-
-    Only the last of these names comes to the driver. The predicate is on file
-    metadata, so the scan drops the other files while planning.
-    """
-    last = value_at_rank(
-        catalog,
-        [],
-        [F.col("directory"), F.col("path")],
-        lambda n: F.least(F.floor(n * F.lit(float(fraction))), n) - 1,
-    ).first()
-    if last is None:
-        return F.lit(False)
-    directory, path = F.lit(last["digit_0"]), F.lit(last["digit_1"])
-    here = _directory(_path())
-    return (here < directory) | ((here == directory) & (_path() <= path))
-
 
-def line_decoder(column: int, chunk: int = _CHUNK) -> Callable:
-    """Arrow batches of files to Arrow batches of lines.
-
-    Decompresses piece by piece: memory holds one compressed file and one piece
-    of its text. Line ends are ``\\n``, ``\\r\\n`` and ``\\r``. ``column`` is the
-    position of the file content; the other columns repeat for each line.
-    """
-
-    def decode(batches: Iterator) -> Iterator:
-        import lzma
-
-        import pyarrow as pa
-
-        def texts(lines: list[bytes]) -> pa.Array:
-            raw = pa.array(lines, pa.binary())
-            try:
-                return raw.cast(pa.string())
-            except pa.ArrowInvalid:  # not UTF-8
-                return pa.array([line.decode("utf-8", "replace") for line in lines], pa.string())
-
-        def pieces(content: pa.BufferReader) -> Iterator[list[bytes]]:
-            begun: list[bytes] = []  # pieces of a line whose end has not come yet
-            half = b""  # a final \r may be half of \r\n, so it waits
-            with lzma.open(content) as stream:
-                while piece := stream.read(chunk):
-                    piece = half + piece
-                    half = b"\r" if piece.endswith(b"\r") else b""
-                    piece = piece.removesuffix(half) if half else piece
-                    cut = max(piece.rfind(b"\n"), piece.rfind(b"\r")) + 1
-                    if cut:
-                        yield b"".join([*begun, piece[:cut]]).splitlines()
-                        begun = []
-                    if cut < len(piece):
-                        begun.append(piece[cut:])
-            if begun or half:
-                yield b"".join([*begun, half]).splitlines()
-
-        for batch in batches:
-            for row in range(batch.num_rows):
-                content = pa.BufferReader(batch.column(column)[row].as_buffer())
-                for lines in pieces(content):
-                    columns = [
-                        texts(lines) if i == column else pa.repeat(values[row], len(lines))
-                        for i, values in enumerate(batch.columns)
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-
-    return decode
-
-
-def decode_lines(files: DataFrame, content: str = "content") -> DataFrame:
-    """Rows with LZMA or XZ content to one row per line in column ``value``."""
-    others = [name for name in files.columns if name != content]
-    frame = files.select(F.col(content).alias("value"), *others)
-    fields = ", ".join(
-        f"`{field.name}` {'string' if field.name == 'value' else field.dataType.simpleString()}"
-        for field in frame.schema.fields
-    )
-    return frame.mapInArrow(line_decoder(0), fields)
+def selected_files(
+    spark: SparkSession,
+    root: str,
+    selection: PingFilter | None = None,
+    fraction: float = 1.0,
+    compressed: bool = True,
+) -> list[ReportFile]:
+    """The selected files in (directory, name) order; no file is opened."""
+    tree = ReportTree(arrow_uri(spark, root))
+    contents = tree.contents(tree.directories(selection), LZMA_ENDINGS if compressed else ())
+    return [file for files in head(contents, fraction) for file in sorted(files)]
 
 
 def read_lines(
@@ -143,30 +42,35 @@ def read_lines(
     selection: PingFilter | None = None,
     fraction: float = 1.0,
     compressed: bool = True,
-    spread: bool = False,
 ) -> DataFrame:
     """Lines of the selected report files in ``value``, plus the dimensions.
 
-    ``compressed`` reads ``.lzma`` and ``.xz`` files, otherwise plain text or
-    any codec Spark knows by file ending. LZMA files cannot be split: where few
-    large ones are selected, ``spread`` deals their lines to
-    :func:`read_slices` tasks. A selection without a match warns and is empty;
-    errors while listing or reading are raised.
+    ``compressed`` reads ``.lzma`` and ``.xz`` files as streams: one task for
+    each 16 files but at least one for each core, each with about as many bytes;
+    a large XZ file of several blocks is read by several tasks. Otherwise plain
+    text or any codec Spark knows by file ending. ``fraction`` keeps the first
+    files in (directory, name) order.
+
+    The directories are listed once, when this is called. A selection without a
+    match warns and is empty; errors while listing or reading are raised.
     """
-    scan = _scan(spark, root, compressed)
-    catalog = file_catalog(spark, root, selection, compressed)
-    if selection is not None:
-        scan = selection.apply(scan)
-        if catalog.isEmpty():
+    tree = ReportTree(arrow_uri(spark, root))
+    directories = tree.directories(selection)
+    if compressed:
+        contents = tree.contents(directories, LZMA_ENDINGS)
+        if not any(contents):
             warnings.warn("no report file matches the selection", stacklevel=2)
+        files = [file for files in head(contents, fraction) for file in files]
+        return read_parts(spark, tree.uri, plan_slices(tree, files, spark.sparkContext.defaultParallelism))
+    if not directories:
+        warnings.warn("no report file matches the selection", stacklevel=2)
+    # Spark lists the last level itself; whole directories are given to it by name.
+    paths = [directory.path for directory in directories]
     if fraction < 1.0:
-        kept_files = within_prefix(catalog, fraction)
-        scan, catalog = scan.where(kept_files), catalog.where(kept_files)
-    if compressed:
-        lines = decode_lines(scan.select("content", *DIMENSIONS))
-    else:
-        lines = scan.select("value", *DIMENSIONS)
-    if not spread:
-        return lines
-    slices = read_slices(catalog.count(), spark.sparkContext.defaultParallelism)
-    return lines.repartition(slices)
+        contents = tree.contents(directories)
+        kept = head(contents, fraction)
+        paths = paths[: max(len(kept) - 1, 0)] + sorted(file.path for files in kept[-1:] for file in files)
+    if not paths:
+        return spark.createDataFrame([], SCHEMA)
+    names = [root.rstrip("/") + path.removeprefix(tree.base) for path in paths]
+    return spark.read.schema(SCHEMA).option("basePath", root).text(names)

@@ -1,0 +1,124 @@
+"""The ``hangstats_lines`` data source: lines of LZMA and XZ files, one partition for each slice of them.
+
+Files are opened as streams, so a task holds a few megabytes of text whatever
+the size of a file, and no text is shuffled.
+"""
+
+from __future__ import annotations
+
+import base64
+import json
+import zlib
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from hangstats.constants import DIMENSIONS
+from hangstats.sources import xz
+from hangstats.sources.listing import FilePart, ReportTree
+
+NAME = "hangstats_lines"
+SCHEMA = ", ".join(["value string", *(f"`{name}` string" for name in DIMENSIONS)])
+_CHUNK = 4 * 1024 * 1024
+_known: set[str] = set()
+
+
+def split_lines(pieces: Iterator[bytes]) -> Iterator[list[bytes]]:
+    """Pieces of a text to lists of its lines. Line ends are ``\\n``, ``\\r\\n`` and ``\\r``."""
+    begun: list[bytes] = []  # pieces of a line whose end has not come yet
+    half = b""  # a final \r may be half of \r\n, so it waits
+    for piece in pieces:
+        piece = half + piece
+        half = b"\r" if piece.endswith(b"\r") else b""
+        piece = piece.removesuffix(half) if half else piece
+        cut = max(piece.rfind(b"\n"), piece.rfind(b"\r")) + 1
+        if cut:
+            yield b"".join([*begun, piece[:cut]]).splitlines()
+            begun = []
+        if cut < len(piece):
+            begun.append(piece[cut:])
+    if begun or half:
+        yield b"".join([*begun, half]).splitlines()
+
+
+def line_array(lines: list[bytes]):
+    """Lines as text; bytes that are not UTF-8 are replaced."""
+    import pyarrow as pa
+
+    raw = pa.array(lines, pa.binary())
+    try:
+        return raw.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([line.decode("utf-8", "replace") for line in lines], pa.string())
+
+
+def _stream_pieces(stream, chunk: int) -> Iterator[bytes]:
+    """The text of a whole file, piece by piece."""
+    import lzma
+
+    with lzma.open(stream) as text:
+        while piece := text.read(chunk):
+            yield piece
+
+
+def part_lines(files, part: FilePart, chunk: int = _CHUNK) -> Iterator[list[bytes]]:
+    """Lists of the lines that belong to a file or to a part of one."""
+    if part.last < 0:
+        with files.open_input_stream(part.path) as stream:
+            yield from split_lines(_stream_pieces(stream, chunk))
+        return
+    with files.open_input_file(part.path) as stream:
+        blocks = xz.read_blocks(stream)
+        length = sum(b.text for b in blocks[part.first : part.last]) if part.last < len(blocks) else None
+        text = xz.block_text(stream, blocks[part.first :])
+        yield from split_lines(xz.owned(text, part.first == 0, length))
+
+
+class Slice(InputPartition):
+    def __init__(self, parts: list[FilePart]):
+        self.parts = parts
+
+
+class LineReader(DataSourceReader):
+    def __init__(self, uri: str, slices: str):
+        self.uri, self.slices = uri, slices
+
+    def partitions(self) -> list[Slice]:
+        listed = json.loads(zlib.decompress(base64.b64decode(self.slices)))
+        # A source without any partition would be read as one without a plan.
+        return [Slice([FilePart(p, s, tuple(d), a, b) for p, s, d, a, b in parts]) for parts in listed or [[]]]
+
+    def read(self, partition: Slice) -> Iterator:
+        import pyarrow as pa
+
+        files = ReportTree(self.uri).files
+        for part in partition.parts:
+            values = [pa.scalar(value, pa.string()) for value in part.dimensions]
+            for lines in part_lines(files, part):
+                columns = [line_array(lines), *(pa.repeat(value, len(lines)) for value in values)]
+                yield pa.RecordBatch.from_arrays(columns, names=["value", *DIMENSIONS])
+
+
+class LineSource(DataSource):
+    """Options: ``uri`` of the root, and ``slices`` as :func:`read_parts` writes them."""
+
+    @classmethod
+    def name(cls) -> str:
+        return NAME
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema) -> LineReader:
+        return LineReader(self.options["uri"], self.options["slices"])
+
+
+def read_parts(spark: SparkSession, uri: str, slices: list[list[FilePart]]) -> DataFrame:
+    """Lines of the files in ``slices`` with their dimensions; each slice is read by one task."""
+    session = spark.sparkContext.applicationId
+    if session not in _known:
+        spark.dataSource.register(LineSource)
+        _known.add(session)
+    packed = base64.b64encode(zlib.compress(json.dumps(slices).encode())).decode()
+    return spark.read.format(NAME).option("uri", uri).option("slices", packed).load()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hangstats.constants import REPORT_REASON, WILDCARD
 
 Range = str | tuple[str, str]
+_EQUAL = ("reason", "appName", "appUpdateChannel")  # never a range nor a wildcard
 
 
 def _bounds(value: Range) -> tuple[str, str]:
@@ -58,5 +59,22 @@ class PingFilter:
                 predicate = predicate & part
         return predicate
 
+    def accepts(self, dimension: str, value: str | None) -> bool:
+        """The same for one dimension value of a directory; a missing value is never held."""
+        wanted = {
+            "reason": REPORT_REASON,
+            "appName": self.app_name,
+            "appUpdateChannel": self.channel,
+            "appVersion": self.version,
+            "appBuildID": self.build_id,
+            "submission_date": self.submission,
+        }[dimension]
+        low, high = _bounds(wanted)
+        if dimension in _EQUAL:
+            return value == low
+        if low == high == WILDCARD:
+            return True
+        return value is not None and (low == WILDCARD or low <= value) and (high == WILDCARD or value <= high)
+
     def apply(self, frame: DataFrame) -> DataFrame:
         return frame.where(self.to_column())
