@@ -36,6 +36,8 @@ _LINE_STATE_SQL = """(case when k = 91 then 'cut' when k = 92 then 'short'
     when k in (93, 94) then 'no_threads' else 'good' end)"""
 
 _NEEDLE = "flashVersion"
+_LARGE = 2**64  # an integer beyond 64 bits
+_TOO_LARGE = 10**39  # one of more digits than a DECIMAL has
 
 
 def event_lines(spark: SparkSession, sf_dir: str, numbered: bool = False) -> DataFrame:
@@ -60,6 +62,7 @@ def event_lines(spark: SparkSession, sf_dir: str, numbered: bool = False) -> Dat
     # thread (k % 4 of them), 3 to the additional entry of a purchase.
     script = """concat('"', event_type, (k + i) % 20, '.js:', cast(floor(value) as int), '"')"""
     stack = f"""case when (k + i) % 37 = 5 then '"stack":null,'
+        when (k + i) % 47 = 11 then '"stack":5,'
         when (k + i) % 10 = 9 then '"stack":[],'
         when (k + i) % 4 = 0 then concat('"stack":["main","IPDL::PPlugin',
             case when (k + i) % 8 = 0 then 'Module' else 'Instance' end, '::Msg",', {script}, '],')
@@ -72,7 +75,9 @@ def event_lines(spark: SparkSession, sf_dir: str, numbered: bool = False) -> Dat
         case when (k + i) % 7 = 0 then ',"1024":"bad"' else '' end,
         case when (k + i) % 17 = 0 then ',"2048":2.5' else '' end,
         case when (k + i) % 11 = 0 then ',"256":-1' else '' end,
-        case when (k + i) % 13 = 0 then ',"abc":1' else '' end)"""
+        case when (k + i) % 13 = 0 then ',"abc":1' else '' end,
+        case when (k + i) % 43 = 9 then concat(',"', {_BIN_SQL}, '":1') else '' end,
+        case when (k + i) % 31 = 8 then ',"512":{_LARGE}' else '' end)"""
     hang = f"""concat('{{', {stack}, case when (k + i) % 41 = 6 then '"histogram":{{}}'
         else concat('"histogram":{{"values":{{', {bins}, '}}}}') end, '}}')"""
     hangs = f"""transform(array(0, 1, 2, 3), i -> case
@@ -85,7 +90,7 @@ def event_lines(spark: SparkSession, sf_dir: str, numbered: bool = False) -> Dat
     line = f"""concat(lpad(cast(event_id as string), {PREFIX_LENGTH - 1}, '0'), '\t',
         '{{"simpleMeasurements":{{"uptime":',
         case when k between 40 and 44 then '"n/a"' when k = 45 then '1.5'
-             else cast(mn as string) end,
+             when k = 46 then '{_LARGE}' when k = 47 then '{_TOO_LARGE}' else cast(mn as string) end,
         '}}', case when k < 60 then ',"info":{{"{_NEEDLE}":"15.0"}}' else '' end,
         ',"threadHangStats":', case k when 93 then 'null' when 94 then '{{}}' else {threads} end,
         '}}') as line"""
@@ -136,7 +141,8 @@ every_ping as (
            lpad(cast(event_id as varchar), {PREFIX_LENGTH - 1}, '0') as ping_id,
            {_LINE_STATE_SQL} as state,
            {_LINE_STATE_SQL} in ('good', 'no_threads') as well_formed,
-           case when k between 40 and 45 then null else mn end as uptime,
+           cast(case when k between 40 and 45 or k = 47 then null when k = 46 then {_LARGE}::hugeint else mn end
+                as decimal(38, 0)) as uptime,
            k < 60 and {_LINE_STATE_SQL} in ('good', 'no_threads') as has_needle
     from base),
 {pings},
@@ -154,7 +160,7 @@ varied as (
     from numbered),
 any_hang as (
     select *,
-        case when j % 37 = 5 then null
+        case when j % 37 = 5 or j % 47 = 11 then null
              when j % 10 = 9 then []::varchar[]
              when j % 4 = 0 then ['main', concat('IPDL::PPlugin',
                  case when j % 8 = 0 then 'Module' else 'Instance' end, '::Msg'), script]
@@ -165,8 +171,10 @@ any_hang as (
                'cnt': cast(case when j % 29 = 4 then 0 else 1 + k % 3 end as bigint)}},
              {{'label': '128', 'cnt': case when i > 0 then 2 end}},
              {{'label': '256', 'cnt': case when j % 11 = 0 then -1 end}},
-             {{'label': 'abc', 'cnt': case when j % 13 = 0 then 1 end}}],
-             lambda e: e.cnt is not null) end as bins
+             {{'label': 'abc', 'cnt': case when j % 13 = 0 then 1 end}},
+             {{'label': cast({_BIN_SQL} as varchar), 'cnt': case when j % 43 = 9 then 1 end}}],
+             lambda e: e.cnt is not null) end as bins,
+        case when j % 31 = 8 then {_LARGE}::hugeint else 0 end as large
     from varied),
 hang as (
     select *, list_transform(stack, lambda f: regexp_replace(f, '^(.*):[0-9].*$', '\\1')) as plain,

@@ -96,6 +96,11 @@ def _hangs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hang_rows(_reports(spark, sf_dir))
 
 
+def _uptime_text(frame: DataFrame) -> DataFrame:
+    """Uptimes of any size as text, which reads alike in both engines."""
+    return frame.withColumn("uptime", F.col("uptime").cast("string"))
+
+
 def _dimension_counts(lines: DataFrame) -> DataFrame:
     return lines.groupBy("appVersion", "appBuildID", "submission_date").agg(
         F.count(F.lit(1)).alias("n")
@@ -234,7 +239,7 @@ def raw_contains_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("""
 with {hangs}
 select case when state = 'short' then 'short' else ping_id end as ping_id, well_formed,
-       case when well_formed then uptime end as uptime,
+       case when well_formed then cast(uptime as varchar) end as uptime,
        case when state = 'good' then 2 + cast(event_type = 'purchase' as int) end as n_threads
 from ping
 """)
@@ -243,7 +248,7 @@ def ping_parse_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pings.select(
         "ping_id",
         F.col("ping").isNotNull().alias("well_formed"),
-        variants.integer("ping", "$.simpleMeasurements.uptime").alias("uptime"),
+        variants.any_integer(F.try_variant_get("ping", "$.simpleMeasurements.uptime", "variant")).cast("string").alias("uptime"),
         F.array_size(variants.items("ping", "$.threadHangStats")).alias("n_threads"),
     )
 
@@ -268,14 +273,14 @@ def pings_analyzed_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("""
 with {hangs}
-select ping_id, uptime, thread_pos, hang_pos, array_to_string(stack, ' > ') as stack,
+select ping_id, cast(uptime as varchar) as uptime, thread_pos, hang_pos, array_to_string(stack, ' > ') as stack,
        cast(len(bins) as int) as n_bins
 from hang
 """)
 def hang_rows_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hangs(spark, sf_dir).select(
         "ping_id",
-        "uptime",
+        F.col("uptime").cast("string").alias("uptime"),
         "thread_pos",
         "hang_pos",
         stacks.stack_text("stack").alias("stack"),
@@ -406,7 +411,7 @@ def hang_totals_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("""
 with {hangs}
 select count(*) as hangs, cast(sum(cast(total <= 0 as int)) as bigint) as invalid from (
-    select coalesce(list_sum(list_transform(bins, lambda e: e.cnt)), 0) as total
+    select coalesce(list_sum(list_transform(bins, lambda e: e.cnt)), 0) + large as total
     from any_hang where bins is not null and uptime is not null)
 """)
 def assert_positive_hangs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -564,17 +569,17 @@ def top_plugin_frames_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 with {hangs},
 counted as (
     select event_id, thread_pos,
-           coalesce(list_sum(list_transform(bins, lambda e: e.cnt)), 0) as total
+           coalesce(list_sum(list_transform(bins, lambda e: e.cnt)), 0) + large as total
     from any_hang where bins is not null),
 summed as (
     select event_id, thread_pos, sum(total) filter (where total > 0) as hangs
     from counted group by all)
-select cast(coalesce(hangs, 0) as double) as hangs, uptime
+select cast(coalesce(hangs, 0) as double) as hangs, cast(uptime as varchar) as uptime
 from thread left join summed using (event_id, thread_pos)
 where uptime is not null
 """)
 def session_hangs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessions.session_hangs(_reports(spark, sf_dir))
+    return _uptime_text(sessions.session_hangs(_reports(spark, sf_dir)))
 
 
 
@@ -582,18 +587,18 @@ def session_hangs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 with {hangs},
 counted as (
     select event_id, thread_pos,
-           coalesce(list_sum(list_transform(bins, lambda e: e.cnt)), 0) as total
+           coalesce(list_sum(list_transform(bins, lambda e: e.cnt)), 0) + large as total
     from any_hang where bins is not null),
 summed as (
     select event_id, thread_pos, sum(total) filter (where total > 0) as hangs,
            count(*) filter (where total <= 0) as invalid
     from counted group by all)
-select cast(coalesce(hangs, 0) as double) as hangs, uptime, coalesce(invalid, 0) as invalid
+select cast(coalesce(hangs, 0) as double) as hangs, cast(uptime as varchar) as uptime, coalesce(invalid, 0) as invalid
 from thread left join summed using (event_id, thread_pos)
 where uptime is not null
 """)
 def session_hangs_checked_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessions.session_hangs_checked(_reports(spark, sf_dir))
+    return _uptime_text(sessions.session_hangs_checked(_reports(spark, sf_dir)))
 
 
 @register(f"""
@@ -658,4 +663,4 @@ def nightly_plugin_hang_median_query(spark: SparkSession, sf_dir: str) -> DataFr
 
 @register(_sampled("session_hangs"))
 def nightly_session_hangs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessions.session_hangs(_nightly_reports(spark, sf_dir))
+    return _uptime_text(sessions.session_hangs(_nightly_reports(spark, sf_dir)))

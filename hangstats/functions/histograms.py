@@ -1,7 +1,9 @@
 """Column functions on duration histograms.
 
 A histogram is ``array<struct<label string, count bigint>>``: the label is the
-lower edge of the bin in ms, the upper edge is twice as high.
+lower edge of the bin in ms, the upper edge is twice as high. Counts beyond 64
+bits are in an array of their own, ``array<struct<label string, count
+decimal(38,0)>>``, which is NULL for almost every hang.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HISTOGRAM = "array<struct<label:string,count:bigint>>"
+LARGE_COUNTS = "array<struct<label:string,count:decimal(38,0)>>"
 
 
 def bin_edge(label: Column | str) -> Column:

@@ -2,16 +2,19 @@
 
 ``reports`` is the frame all analyses start from, one row per line::
 
-    ping_id STRING, well_formed BOOLEAN, uptime BIGINT,
+    ping_id STRING, well_formed BOOLEAN, uptime DECIMAL(38,0),
     threads ARRAY<STRUCT<thread_pos INT, hangs ARRAY<STRUCT<
         hang_pos INT, stack ARRAY<STRING>,
-        bins ARRAY<STRUCT<label STRING, count BIGINT>>>>>>
+        bins ARRAY<STRUCT<label STRING, count BIGINT>>,
+        large ARRAY<STRUCT<label STRING, count DECIMAL(38,0)>>>>>>
 
 plus the other columns of the lines. A body of the usual shape is read
 straight into arrays, skipping everything else in it; only numbers stay VARIANT
-until their type is checked. Any other body, broken or just unusual, is parsed
-to a VARIANT and taken apart value by value. Both happen inside the row, so no
-exploded row carries a copy of a VARIANT's dictionary.
+until their type is checked. Any other body is read step by step: the elements
+of an array come out as texts, and each is read on its own, so that a wrong part
+costs itself alone. Neither way depends on settings of the session or on the
+size of a body, and both keep the last value of a repeated key but every entry
+of a histogram. All happens inside the row.
 
 Generators are ``explode_outer`` wherever their input is computed: for an inner
 ``explode`` Catalyst infers filters on the input, which would parse every line
@@ -47,7 +50,10 @@ _USUAL_OPTIONS = {
     "allowSingleQuotes": "false",
     "allowNonNumericNumbers": "false",
 }
+_STEP_OPTIONS = {name: value for name, value in _USUAL_OPTIONS.items() if name != "columnNameOfCorruptRecord"}
 _ON_ERROR = ("keep", "drop", "fail")
+_LONG_NUMBER = "[0-9]{19}"
+_WHOLE_NUMBER = "^-?(0|[1-9][0-9]*)$"
 
 
 def raw_contains(lines: DataFrame, needle: str, line: str = "value") -> DataFrame:
@@ -59,8 +65,12 @@ def parse_pings(lines: DataFrame, on_error: str = "keep", line: str = "value") -
     """Split off the line prefix and parse the body into ``ping VARIANT``.
 
     A malformed line has a NULL ``ping``: ``keep`` leaves it in to be counted,
-    ``drop`` removes it, ``fail`` stops the job at the first one.
+    ``drop`` removes it, ``fail`` stops the job at the first one. Of a repeated
+    key the last value is kept; Spark does so only with the session setting that
+    is made here, and would reject the line without it. Bodies beyond the size
+    limit of VARIANT are malformed here, not in :func:`read_reports`.
     """
+    lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     parse = _parser(on_error)
     kept = [F.col(name) for name in lines.columns if name != line]
     pings = lines.select(_ping_id(line), parse(_body(line)).alias("ping"), *kept)
@@ -103,39 +113,75 @@ def _bins(values: Column) -> Column:
     )
 
 
-def _hangs(thread: Column) -> Column:
-    return F.transform(
-        variants.items(thread, "$.hangs"),
-        lambda hang, pos: F.struct(
-            pos.alias("hang_pos"),
-            variants.texts(hang, "$.stack").alias("stack"),
-            _bins(variants.fields(hang, "$.histogram.values")).alias("bins"),
-        ),
+def _large(values: Column) -> Column:
+    """The same for integers beyond 64 bits."""
+    entries = F.transform(
+        values,
+        lambda entry: F.struct(entry["key"].alias("label"), variants.large_integer(entry["value"]).alias("count")),
     )
+    return F.filter(entries, lambda entry: entry["count"].isNotNull())
+
+
+def _hang(pos: Column, stack: Column, values: Column, long: Column) -> Column:
+    return F.struct(
+        pos.alias("hang_pos"),
+        stack.alias("stack"),
+        _bins(values).alias("bins"),
+        # Looking at each value once more is worth it only where a line has a number of that many digits.
+        F.when(long, _large(values)).alias("large"),
+    )
+
+
+def _step(text: Column, schema: str) -> Column:
+    """What a JSON text has of ``schema``; NULL where it is of another shape."""
+    return F.from_json(text, schema, _STEP_OPTIONS)
+
+
+def _step_values(hang: Column) -> Column:
+    """Labels and VARIANT counts of one hang.
+
+    A count that is an object with a repeated key fails as a VARIANT in some
+    sessions. Then the texts of the counts are taken, the whole numbers among
+    them if they stand without quotes after a label.
+    """
+    entries = F.map_entries(_step(hang, "histogram struct<values: map<string, variant>>")["histogram"]["values"])
+    texts = F.map_entries(_step(hang, "histogram struct<values: map<string, string>>")["histogram"]["values"])
+    whole = _step(hang, "histogram struct<values: string>")["histogram"]["values"]
+
+    def number(entry: Column) -> Column:
+        unquoted = [F.contains(whole, F.concat(F.lit('":'), entry["value"], F.lit(end))) for end in ",}"]
+        usable = F.rlike(entry["value"], F.lit(_WHOLE_NUMBER)) & (unquoted[0] | unquoted[1])
+        value = F.coalesce(*[entry["value"].try_cast(kind).cast("variant") for kind in ("bigint", "decimal(38,0)")])
+        return F.struct(entry["key"].alias("key"), F.when(usable, value).alias("value"))
+
+    return F.coalesce(entries, F.transform(texts, number))
 
 
-def _variant_threads(ping: Column, thread: str) -> Column:
-    """The thread's entries that have a hang list; the others give NULL hangs."""
+def _step_threads(threads: Column, thread: str, long: Column) -> Column:
+    """Entries of a thread list, given as texts, that have a hang list; the others give NULL hangs."""
+
+    def hangs(entry: Column) -> Column:
+        return F.transform(
+            _step(entry, "hangs array<string>")["hangs"],
+            lambda hang, pos: _hang(pos, _step(hang, "stack array<string>")["stack"], _step_values(hang), long),
+        )
+
     return F.transform(
-        variants.items(ping, "$.threadHangStats"),
+        threads,
         lambda entry, pos: F.struct(
             pos.alias("thread_pos"),
-            F.when(variants.text(entry, "$.name") == thread, _hangs(entry)).alias("hangs"),
+            F.when(_step(entry, "name string")["name"] == thread, hangs(entry)).alias("hangs"),
         ),
     )
 
 
-def _typed_threads(report: Column, thread: str) -> Column:
+def _typed_threads(report: Column, thread: str, long: Column) -> Column:
     """The same from a body of the usual shape."""
 
     def hangs(entry: Column) -> Column:
         return F.transform(
             entry["hangs"],
-            lambda hang, pos: F.struct(
-                pos.alias("hang_pos"),
-                hang["stack"].alias("stack"),
-                _bins(F.map_entries(hang["histogram"]["values"])).alias("bins"),
-            ),
+            lambda hang, pos: _hang(pos, hang["stack"], F.map_entries(hang["histogram"]["values"]), long),
         )
 
     return F.transform(
@@ -147,15 +193,27 @@ def _typed_threads(report: Column, thread: str) -> Column:
     )
 
 
+def _is_json(body: Column) -> Column:
+    """True for an object, whatever follows it, and for any other single JSON value."""
+    checked = F.from_json(body, "_unusual string", _USUAL_OPTIONS)
+    # Something else has to be valid as a member of an object and as the only element of an array.
+    member = F.from_json(F.concat(F.lit('{"x":'), body, F.lit("}")), "x string, _unusual string", _USUAL_OPTIONS)
+    element = F.size(_step(F.concat(F.lit("["), body, F.lit("]")), "array<string>")) == 1
+    is_object = checked.isNotNull() & checked["_unusual"].isNull()
+    return F.coalesce(is_object | (member["_unusual"].isNull() & element), F.lit(False))
+
+
 def read_reports(
     lines: DataFrame, thread: str = THREAD_NAME, on_error: str = "keep", line: str = "value"
 ) -> DataFrame:
     """Lines to typed reports with the hangs of one thread.
 
     Threads with another name and threads without a hang list are left out.
-    ``on_error`` is that of :func:`parse_pings`.
+    ``on_error`` is that of :func:`parse_pings`. An element of a list that is a
+    text holding a JSON object is read as that object.
     """
-    parse = _parser(on_error)
+    if on_error not in _ON_ERROR:
+        raise ValueError(f"on_error must be one of {_ON_ERROR}, not {on_error!r}")
     kept = [name for name in lines.columns if name != line]
     read = lines.select(
         _ping_id(line),
@@ -164,27 +222,34 @@ def read_reports(
         *kept,
     )
     usual = F.col("_report").isNotNull() & F.col("_report._unusual").isNull()
+    body, is_json = F.col("_body"), _is_json(F.col("_body"))
+    if on_error == "fail":
+        said = F.raise_error(F.concat(F.lit("malformed report line "), F.col("ping_id"))).cast("boolean")
+        is_json = F.when(is_json, F.lit(True)).otherwise(said)
     parsed = read.select(
         "ping_id",
         "_report",
         usual.alias("_usual"),
-        F.when(~usual, parse(F.col("_body"))).alias("_ping"),
+        F.rlike(body, F.lit(_LONG_NUMBER)).alias("_long"),
+        F.when(~usual, is_json).alias("_json"),
+        F.when(~usual, _step(body, "threadHangStats array<string>")["threadHangStats"]).alias("_threads"),
+        F.when(~usual, _step(body, "simpleMeasurements struct<uptime: variant>")).alias("_measured"),
         *kept,
     )
-    report, ping = F.col("_report"), F.col("_ping")
-    threads = F.when(F.col("_usual"), _typed_threads(report, thread)).otherwise(
-        _variant_threads(ping, thread)
+    report, long = F.col("_report"), F.col("_long")
+    threads = F.when(F.col("_usual"), _typed_threads(report, thread, long)).otherwise(
+        F.when(F.col("_json"), _step_threads(F.col("_threads"), thread, long))
+    )
+    uptime = F.when(F.col("_usual"), report["simpleMeasurements"]["uptime"]).otherwise(
+        F.when(F.col("_json"), F.col("_measured")["simpleMeasurements"]["uptime"])
     )
-    uptime = F.when(
-        F.col("_usual"), variants.integer(report["simpleMeasurements"]["uptime"], "$")
-    ).otherwise(variants.integer(ping, "$.simpleMeasurements.uptime"))
     reports = parsed.select(
         "ping_id",
-        (F.col("_usual") | ping.isNotNull()).alias("well_formed"),
-        uptime.alias("uptime"),
+        (F.col("_usual") | F.col("_json")).alias("well_formed"),
+        uptime.alias("_uptime"),
         F.filter(threads, lambda entry: entry["hangs"].isNotNull()).alias("threads"),
         *kept,
-    )
+    ).select("ping_id", "well_formed", variants.any_integer(F.col("_uptime")).alias("uptime"), "threads", *kept)
     return _keep(reports, F.col("well_formed")) if on_error == "drop" else reports
 
 

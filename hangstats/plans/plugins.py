@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hangstats.constants import PLUGIN_PREFIX, TOP_LIST
-from hangstats.functions.histograms import HISTOGRAM, bin_midpoint, hang_moments
+from hangstats.functions.histograms import HISTOGRAM, LARGE_COUNTS, bin_midpoint, hang_moments
 from hangstats.functions.stacks import (
     frames_with_prefix,
     has_frame_prefix,
@@ -37,6 +37,7 @@ def duration_counts(reports: DataFrame, prefix: str = PLUGIN_PREFIX) -> DataFram
         F.array(
             F.struct(F.lit("0").alias("label"), F.lit(1).cast("bigint").alias("count"))
         ).cast(HISTOGRAM).alias("bins"),
+        F.lit(None).cast(LARGE_COUNTS).alias("large"),
     )
     hangs = F.filter(
         F.flatten(F.transform("threads", lambda thread: thread["hangs"])),

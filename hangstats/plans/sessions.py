@@ -9,9 +9,13 @@ from hangstats.functions.histograms import count_total
 
 
 def _totals(hangs: Column | str) -> Column:
-    """Plain count sum of each hang; negative counts take part in it."""
+    """Plain count sum of each hang; negative counts and those beyond 64 bits take part in it."""
     counted = F.filter(hangs, lambda hang: hang["bins"].isNotNull())
-    return F.transform(counted, lambda hang: count_total(hang["bins"]))
+    return F.transform(
+        counted,
+        lambda hang: count_total(hang["bins"])
+        + F.coalesce(F.when(hang["large"].isNotNull(), count_total(hang["large"])), F.lit(0.0)),
+    )
 
 
 def _threads(reports: DataFrame, *kept: str) -> DataFrame:

@@ -13,9 +13,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # A repeated key costs its earlier values, not the whole report.
+    # A repeated key costs its earlier values, not the whole VARIANT (parse_pings sets this by itself).
     "spark.sql.variant.allowDuplicateKeys": "true",
-    # Bounds what the LZMA decoder gets at once; one file may exceed it.
+    # Bounds what a Python worker gets at once.
     "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
 }
 

@@ -168,11 +168,65 @@ def test_session_counts_hangs_without_a_stack(spark):
     assert rows(hs.hang_rows(reports)) == []
 
 
-@pytest.mark.parametrize("uptime", ["x", 1.5, None, 2**70, [1]])
+@pytest.mark.parametrize("uptime", ["x", 1.5, None, 10**38, -(10**38), 1e30, "99999999999999999999", [1]])
 def test_uptime_must_be_an_integer(spark, uptime):
     assert rows(hs.session_hangs(of(spark, report([], uptime)))) == []
 
 
+@pytest.mark.parametrize("uptime", [2**63, 2**70, 10**38 - 1, -(10**38) + 1, 2**63 - 1, -(2**63), 0])
+@pytest.mark.parametrize("odd", [False, True])
+def test_uptimes_of_any_size(spark, uptime, odd):
+    more = [5] if odd else []
+    assert rows(hs.session_hangs(of(spark, report([], uptime, more=more)))) == [(0.0, uptime)]
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_counts_of_any_size(spark, odd):
+    values = {"1": 2**63, "2": 2**63 - 1, "4": 10**38, "8": "99999999999999999999", "16": 1e25, "32": -(2**64), "64": 3}
+    reports = of(spark, report([hang(["a"], values), hang(5 if odd else ["b"], {"1": 10**37})]))
+    # 10**38 has too many digits to be a usable number.
+    assert rows(hs.session_hangs(reports)) == [(float(10**37), 10)]  # the first hang's counts add up to less than 0
+    assert rows(hs.invalid_hangs(reports)) == [(2, 1)]
+    alone = of(spark, report([hang(["a"], {"1": 2**63, "2": 2**63}), *([5] if odd else [])]))
+    assert rows(hs.session_hangs(alone)) == [(float(2**64), 10)]
+    # Durations and stacks have 64-bit counts; what is beyond is in the quarantine.
+    assert [r.weight for r in hs.histogram_rows(hs.hang_rows(reports)).collect() if r.label == "64"] == [3]
+
+
+def repeated(*parts):
+    return line(0, '{"simpleMeasurements":{"uptime":1},"threadHangStats":[{"name":"Gecko","hangs":[%s]}]}' % ",".join(parts))
+
+
+@pytest.mark.parametrize("duplicates", ["true", "false"])
+@pytest.mark.parametrize("padding", [0, 20_000_000])
+def test_repeated_keys_in_any_session(spark, duplicates, padding):
+    """Usual and odd bodies, small and large ones: all entries of a histogram, the last value of another key."""
+    hang_text = '{"stack":["no"],"stack":["a"],"histogram":{"values":{"1":2,"1":3}}}'
+    odd = '{"stack":5,"histogram":{"values":{"1":2,"2":{"x":1,"x":2},"4":"7"}}}'
+    lines = [repeated(hang_text), repeated(hang_text, odd)]
+    if padding:
+        lines = [text[:-1] + ',"padding":"%s"}' % ("x" * padding) for text in lines]
+    before = spark.conf.get("spark.sql.variant.allowDuplicateKeys")
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", duplicates)
+    try:
+        reports = hs.read_reports(lines_frame(spark, lines))
+        assert rows(ping_counts(reports)) == [(2, 0)]
+        assert sorted(rows(hs.session_hangs(reports))) == [(5.0, 1), (7.0, 1)]
+        assert [r.stack for r in hs.hang_rows(reports).collect()] == [["a"], ["a"]]
+    finally:
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", before)
+
+
+def test_bodies_that_are_no_object(spark):
+    good = ["[1,2]", "5", '"x"', "null", "true", " [] ", '{"a":1} tail', "[{},5]"]
+    bad = ["5 x", "1],[2", '1,"y":2', '{"a"', "", " ", "[1", "1}", "nul", "{'a':1}", "NaN", "1 2"]
+    assert rows(ping_counts(of(spark, *good))) == [(len(good), 0)]
+    assert rows(ping_counts(of(spark, *bad))) == [(0, len(bad))]
+    for text in bad:
+        with pytest.raises(Exception, match="malformed report line"):
+            hs.read_reports(lines_frame(spark, [line(0, text)]), on_error="fail").collect()
+
+
 @pytest.mark.parametrize("threads", [None, {}, 5, "x", [], [1, "x", None]])
 def test_threads_of_another_shape(spark, threads):
     reports = of(spark, {"simpleMeasurements": {"uptime": 1}, "threadHangStats": threads})
