@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that one vectorised step looks at together; a longer text is a step of its own.
 STEP_BYTES = 1 << 21
 
+#: The same where rows pass through with all their columns.
+PASSING_BYTES = 1 << 18
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -104,15 +107,20 @@ def map_rows(
     return frame.mapInArrow(run, target)
 
 
+def text_slices(texts: pa.Array, most: int = PASSING_BYTES) -> Iterator[list[str | None]]:
+    """The texts of a batch as Python strings, some at a time."""
+    for start, end in steps([n or 0 for n in pc.binary_length(texts).to_pylist()], most):
+        yield texts.slice(start, end - start).to_pylist()
+
+
 def filter_rows(docs: DataFrame, keep: Callable[[list[str | None]], list[bool]]) -> DataFrame:
     """The rows of ``docs``, all columns, whose text ``keep`` accepts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            kept = []
-            for start, end in steps([len(text or "") for text in texts]):
-                kept += keep(texts[start:end])
+            kept: list[bool] = []
+            for texts in text_slices(batch.column(batch.schema.get_field_index("text"))):
+                kept += keep(texts)
             yield batch.filter(pa.array(kept, type=pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

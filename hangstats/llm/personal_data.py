@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hangstats.llm.common import id_and_text, map_rows
+from hangstats.llm.common import id_and_text, map_rows, text_slices
 
 #: The base kinds in the order they are listed, then those this method adds.
 BASE = ("email", "ip", "card", "phone")
@@ -178,9 +178,12 @@ def redact(docs: DataFrame, least: float = 0.5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            texts = [redacted(text, least) for text in batch.column(at).to_pylist()]
+            kind = batch.schema.field(at).type
+            parts = [
+                pa.array([redacted(text, least) for text in texts], type=kind) for texts in text_slices(batch.column(at))
+            ]
             columns = list(batch.columns)
-            columns[at] = pa.array(texts, type=batch.schema.field(at).type)
+            columns[at] = pa.concat_arrays(parts) if parts else columns[at]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
     out = docs.mapInArrow(run, docs.schema)

@@ -30,7 +30,7 @@ SPACE = "▁"
 #: Letters of the Latin script; everything else but the space mark counts as the other class.
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Cuts of up to so many characters are remembered, up to so many of each process.
-_KEPT_LENGTH, _KEPT = 40, 600_000
+_KEPT_LENGTH, _KEPT = 40, 60_000
 
 
 class PieceCodec:
