@@ -1,5 +1,6 @@
 """Hang report analytics on Spark DataFrames."""
 
+from hangstats.operators.quarantine import counted, quarantine
 from hangstats.operators.reports import (
     cached,
     hang_rows,
@@ -9,6 +10,7 @@ from hangstats.operators.reports import (
     read_reports,
 )
 from hangstats.plans.clusters import hang_clusters, hang_clusters_nested
+from hangstats.plans.combined import all_reports, analyses
 from hangstats.plans.plugins import (
     plugin_frames,
     plugin_hang_median,
@@ -24,8 +26,11 @@ from hangstats.sources.selection import PingFilter
 
 __all__ = [
     "PingFilter",
+    "all_reports",
+    "analyses",
     "build_session",
     "cached",
+    "counted",
     "hang_clusters",
     "hang_clusters_nested",
     "hang_rows",
@@ -35,6 +40,7 @@ __all__ = [
     "plugin_frames",
     "plugin_hang_median",
     "plugin_hang_stats",
+    "quarantine",
     "raw_contains",
     "read_lines",
     "read_reports",

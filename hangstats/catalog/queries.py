@@ -19,6 +19,7 @@ from hangstats.catalog.layouts import layout
 from hangstats.constants import DIMENSIONS
 from hangstats.functions import stacks, variants
 from hangstats.functions.histograms import hang_moments
+from hangstats.operators.quarantine import quarantine
 from hangstats.operators.ranking import rank_range
 from hangstats.operators.reports import (
     hang_rows,
@@ -31,7 +32,7 @@ from hangstats.operators.reports import (
 )
 from hangstats.operators.setops import subtract_keep_dups
 from hangstats.operators.stats import prefix_fraction, upper_median
-from hangstats.plans import clusters, plugins, sessions
+from hangstats.plans import clusters, combined, plugins, sessions
 from hangstats.sources.files import read_lines
 from hangstats.sources.selection import PingFilter
 
@@ -74,6 +75,15 @@ plugin_tops as (
 """
 
 
+def _without_shared(sql: str) -> str:
+    """A query's SQL without the common tables, for use below a query that has them."""
+    for shared in (_STACKS, _PLUGIN):
+        sql = sql.replace(f", {shared}", "")
+    sql = sql.replace("{hangs},", "{hangs}").strip()
+    rest = sql.removeprefix("with {hangs}").strip()
+    return rest if rest.startswith("select") else f"with {rest}"
+
+
 def register(sql: str) -> Callable[[Query], Query]:
     """Register a function ``<name>_query`` as query ``<name>``."""
 
@@ -82,14 +92,21 @@ def register(sql: str) -> Callable[[Query], Query]:
         QUERIES[name] = query
         _TEMPLATES[name] = sql
         sample = hang_sql(sample_sql(_NIGHTLY, _FRACTION))
-        ORACLES[name] = sql.replace("{hangs}", hang_sql()).replace("{sample}", sample).strip()
+        whole = sql
+        for other, text in _TEMPLATES.items():
+            whole = whole.replace(f"{{{other}}}", _without_shared(text))
+        ORACLES[name] = whole.replace("{hangs}", hang_sql()).replace("{sample}", sample).strip()
         return query
 
     return add
 
 
+#: Where report queries take their lines from; the benchmark puts report files here.
+report_lines = event_lines
+
+
 def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_reports(event_lines(spark, sf_dir)).drop(*DIMENSIONS)
+    return read_reports(report_lines(spark, sf_dir)).drop(*DIMENSIONS)
 
 
 def _hangs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -622,6 +639,47 @@ def hang_clusters_nested_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("""
+with {hangs},
+t as (
+    select *, coalesce(list_sum(list_transform(bins, lambda e: e.cnt)), 0) + large as total from any_hang),
+unread as (
+    select *, unnest(list_filter(bins, lambda e: e.cnt > 0 and try_cast(e.label as bigint) is null)) as e from t)
+select case when state = 'short' then 'short' else ping_id end as ping_id, 'malformed line' as cause,
+       null::int as thread_pos, null::int as hang_pos, null::varchar as label from ping where not well_formed
+union all select ping_id, 'no thread list', null, null, null from ping where state = 'no_threads'
+union all select ping_id, 'uptime is no integer', null, null, null from ping where state = 'good' and uptime is null
+union all select ping_id, 'hang without a stack', thread_pos, hang_pos, null from t where stack is null
+union all select ping_id, 'hang without a histogram', thread_pos, hang_pos, null from t where bins is null
+union all select ping_id, 'hang without a positive count', thread_pos, hang_pos, null from t
+    where bins is not null and total <= 0
+union all select ping_id, 'count beyond 64 bits', thread_pos, hang_pos, '512' from t where bins is not null and large > 0
+union all select ping_id, 'label that is no number', thread_pos, hang_pos, e.label from unread
+""")
+def quarantine_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quarantine(_reports(spark, sf_dir))
+
+
+@register(f"""
+with {{hangs}}, {_STACKS}, {_PLUGIN},
+a1 as ({{hang_clusters}}), a2 as ({{plugin_hang_stats}}), a3 as ({{plugin_hang_median}}),
+a4 as ({{session_hangs}}), f as ({{plugin_frames}}), s as ({{top_plugin_stacks}}), t as ({{top_plugin_frames}})
+select 'hang_clusters' as report, rank, stack_rank, concat(frame, ' | ', stack) as text, 'frequency' as metric,
+       frequency as value, n from a1
+union all select 'plugin_hang_stats', null, null, null, metric, value, null
+    from (unpivot (select columns(*)::double from a2) on columns(*) into name metric value value)
+union all select 'plugin_frames', null, null, frame, null, null, null from f
+union all select 'plugin_hang_median', null, null, null, metric, value, null
+    from (unpivot (select columns(*)::double from a3) on columns(*) into name metric value value)
+union all select 'top_plugin_stacks', null, null, stack, 'percent', percent, null from s
+union all select 'top_plugin_frames', null, null, frame, 'percent', percent, null from t
+union all select 'session_hangs', null, null, uptime, 'hangs', hangs, count(*) from a4 group by hangs, uptime
+""")
+def all_reports_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All four analyses from one parse."""
+    return combined.all_reports(_reports(spark, sf_dir))
+
+
 # --- from files to report: selection, fraction of the files, LZMA, analysis -----
 
 

@@ -63,7 +63,13 @@ def hang_clusters(
     One row per frame and stack. The stack counts are shuffled once and serve
     the frame ranking, the total and the stacks.
     """
-    stacks = stack_counts(reports)
+    return clusters_of(stack_counts(reports), skip, limit, per_frame)
+
+
+def clusters_of(
+    stacks: DataFrame, skip: int = SKIPPED_RANKS, limit: int = LAST_RANK, per_frame: int = STACKS_PER_FRAME
+) -> DataFrame:
+    """:func:`hang_clusters` from ``(frame, stack, n)``."""
     frames = frame_counts(stacks)
     ranked = rank_range(frames, skip, limit, "frame").select(
         F.col("rank"),

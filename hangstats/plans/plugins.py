@@ -67,7 +67,11 @@ def plugin_hang_stats(reports: DataFrame, prefix: str = PLUGIN_PREFIX) -> DataFr
     ``mean_other_as_published`` divides the time of all hangs by the number of
     other hangs; it is kept for comparison with published reports.
     """
-    counts = duration_counts(reports, prefix)
+    return stats_of(duration_counts(reports, prefix))
+
+
+def stats_of(counts: DataFrame) -> DataFrame:
+    """:func:`plugin_hang_stats` from ``(class, bin, weight)``."""
     weight, mid = F.col("weight"), bin_midpoint("bin")
     plugin = moments(_of(PLUGIN, weight), mid)
     other = moments(_of(OTHER, weight), mid)
@@ -95,7 +99,11 @@ def plugin_hang_stats(reports: DataFrame, prefix: str = PLUGIN_PREFIX) -> DataFr
 
 def plugin_hang_median(reports: DataFrame, prefix: str = PLUGIN_PREFIX) -> DataFrame:
     """One row: counts, plugin ratio and upper median duration by class."""
-    counts = duration_counts(reports, prefix)
+    return median_of(duration_counts(reports, prefix))
+
+
+def median_of(counts: DataFrame) -> DataFrame:
+    """:func:`plugin_hang_median` from ``(class, bin, weight)``."""
     found = value_at_rank(counts, ["class"], [F.col("bin")], lambda n: F.shiftright(n, 1), F.col("weight"))
     n, median = F.col("n"), bin_midpoint("key_0")
     row = found.agg(
@@ -134,7 +142,11 @@ def top_plugin_stacks(
     reports: DataFrame, k: int = TOP_LIST, prefix: str = PLUGIN_PREFIX
 ) -> DataFrame:
     """``(stack, percent)``: the most frequent plugin stacks."""
-    counts = plugin_stack_counts(reports, prefix)
+    return top_stacks_of(plugin_stack_counts(reports, prefix), k)
+
+
+def top_stacks_of(counts: DataFrame, k: int = TOP_LIST) -> DataFrame:
+    """:func:`top_plugin_stacks` from ``(stack, n)``."""
     return top_k(counts, k, "stack").select(
         stack_text("stack").alias("stack"), percent("n", total(counts)).alias("percent")
     )
@@ -144,7 +156,11 @@ def top_plugin_frames(
     reports: DataFrame, k: int = TOP_LIST, prefix: str = PLUGIN_PREFIX
 ) -> DataFrame:
     """``(frame, percent)``: the most frequent innermost frames of plugin stacks."""
-    stacks = plugin_stack_counts(reports, prefix)
+    return top_frames_of(plugin_stack_counts(reports, prefix), k)
+
+
+def top_frames_of(stacks: DataFrame, k: int = TOP_LIST) -> DataFrame:
+    """:func:`top_plugin_frames` from ``(stack, n)``."""
     frames = weighted_counts(
         stacks.select(last_frame("stack").alias("frame"), "n"), "frame", weight="n"
     )

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from hangstats.functions.histograms import count_total
 
 
+def hang_totals(hang: Column) -> Column:
+    """Plain count sum of a hang, NULL without a histogram; negative counts and those beyond 64 bits take part in it."""
+    beyond = F.when(hang["large"].isNotNull(), count_total(hang["large"]))
+    return F.when(hang["bins"].isNotNull(), count_total(hang["bins"]) + F.coalesce(beyond, F.lit(0.0)))
+
+
 def _totals(hangs: Column | str) -> Column:
-    """Plain count sum of each hang; negative counts and those beyond 64 bits take part in it."""
-    counted = F.filter(hangs, lambda hang: hang["bins"].isNotNull())
-    return F.transform(
-        counted,
-        lambda hang: count_total(hang["bins"])
-        + F.coalesce(F.when(hang["large"].isNotNull(), count_total(hang["large"])), F.lit(0.0)),
-    )
+    """The sums of the hangs that have a histogram."""
+    return F.transform(F.filter(hangs, lambda hang: hang["bins"].isNotNull()), hang_totals)
 
 
 def _threads(reports: DataFrame, *kept: str) -> DataFrame:
@@ -25,6 +26,12 @@ def _threads(reports: DataFrame, *kept: str) -> DataFrame:
     return rows.where(F.col("thread").isNotNull())
 
 
+def session_total(hangs: Column | str) -> Column:
+    """Hangs of one thread entry, those left out whose counts do not add up to a positive number."""
+    positive = F.filter(_totals(hangs), lambda value: value > 0)
+    return F.aggregate(positive, F.lit(0.0), lambda acc, value: acc + value)
+
+
 def session_hangs(reports: DataFrame, strict: bool = False) -> DataFrame:
     """``(hangs, uptime)`` per thread entry, 0.0 for one without hangs.
 
