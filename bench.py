@@ -37,7 +37,6 @@ HEADLINE = (
     "prefix_fraction",
     "median_upper",
     "subtract_keep_dups",
-    "all_reports",
     "file_fraction",
     "nightly_hang_clusters",
     "nightly_plugin_hang_stats",

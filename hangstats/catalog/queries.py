@@ -33,6 +33,8 @@ from hangstats.operators.reports import (
 from hangstats.operators.setops import subtract_keep_dups
 from hangstats.operators.stats import prefix_fraction, upper_median
 from hangstats.plans import clusters, combined, plugins, sessions
+from hangstats.session import scratch_dir
+from hangstats.sinks import write_csv
 from hangstats.sources.files import read_lines
 from hangstats.sources.selection import PingFilter
 
@@ -618,6 +620,14 @@ def session_hangs_checked_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _uptime_text(sessions.session_hangs_checked(_reports(spark, sf_dir)))
 
 
+@register(_TEMPLATES["session_hangs"])
+def sessions_csv_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The session report as CSV files with a header, read back."""
+    folder = scratch_dir(spark, "sessions")
+    write_csv(sessions.session_hangs(_reports(spark, sf_dir)), folder)
+    return spark.read.option("header", True).csv(folder).select(F.col("hangs").cast("double").alias("hangs"), "uptime")
+
+
 @register(f"""
 with {{hangs}}, {_STACKS}
 select rank, frame, any_value(f.n) as n, any_value(share) as share,

@@ -32,10 +32,21 @@ def build_session(app: str = "hangstats", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder path below the shared folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all machines share: the one the cluster names, else the session's warehouse.
 
-    A session that names none uses its warehouse, which all machines share too.
+    A warehouse on the driver's own disk is no such folder unless everything
+    runs on that machine.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/hangstats-{label}-{uuid.uuid4().hex}"
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    base = named or spark.conf.get("spark.sql.warehouse.dir")
+    master = spark.sparkContext.master
+    alone = master == "local" or master.startswith("local[")
+    if not named and not alone and base.startswith(("file:", "/")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return base.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A fresh folder path below the shared folder."""
+    return f"{shared_folder(spark)}/hangstats-{label}-{uuid.uuid4().hex}"

@@ -12,7 +12,7 @@ from conftest import final_plan
 
 import hangstats as hs
 from hangstats.constants import DIMENSIONS
-from hangstats.session import scratch_dir
+from hangstats.session import scratch_dir, shared_folder
 from hangstats.sources import xz
 from hangstats.sources.files import selected_files
 from hangstats.sources.line_source import _stream_pieces, part_lines, split_lines
@@ -403,3 +403,29 @@ def test_scratch_folder_follows_the_session(spark):
     assert scratch_dir(spark, "x") != scratch_dir(spark, "x")
     if before:
         assert scratch_dir(spark, "x").startswith(before.rstrip("/"))
+
+
+@pytest.mark.parametrize(
+    ("master", "named", "warehouse", "folder"),
+    [
+        ("local[8]", None, "file:/tmp/w", "file:/tmp/w"),
+        ("spark://host", "hdfs:///c/", "file:/tmp/w", "hdfs:///c"),
+        ("spark://host", None, "hdfs:///w", "hdfs:///w"),
+        ("spark://host", None, "file:/tmp/w", None),
+        ("local-cluster[2,1,1024]", None, "/tmp/w", None),
+    ],
+)
+def test_no_folder_of_one_machine_on_a_cluster(master, named, warehouse, folder):
+    class Session:
+        conf = {"spark.sql.warehouse.dir": warehouse} | ({"spark.checkpoint.dir": named} if named else {})
+
+        class sparkContext:
+            pass
+
+    session = Session()
+    session.sparkContext.master = master
+    if folder:
+        assert shared_folder(session) == folder
+    else:
+        with pytest.raises(ValueError, match="share"):
+            shared_folder(session)
