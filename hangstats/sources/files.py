@@ -11,7 +11,7 @@ import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hangstats.sources.line_source import SCHEMA, read_parts
+from hangstats.sources.lines import SCHEMA, read_parts
 from hangstats.sources.listing import (
     LZMA_ENDINGS,
     ReportFile,

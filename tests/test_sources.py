@@ -2,6 +2,7 @@ import gzip
 import io
 import lzma
 import random
+import re
 import subprocess
 import sys
 import warnings
@@ -11,11 +12,12 @@ import pytest
 from conftest import final_plan
 
 import hangstats as hs
+from hangstats.catalog.layouts import layout
 from hangstats.constants import DIMENSIONS
 from hangstats.session import scratch_dir, shared_folder
 from hangstats.sources import xz
 from hangstats.sources.files import selected_files
-from hangstats.sources.line_source import _stream_pieces, part_lines, split_lines
+from hangstats.sources.lines import _stream_pieces, part_lines, split_lines
 from hangstats.sources.listing import (
     FilePart,
     ReportFile,
@@ -197,8 +199,17 @@ def test_odd_directories(spark, tmp_path):
 
 def test_the_scan_is_a_stream(spark, root):
     plan = final_plan(hs.read_lines(spark, root))
-    assert "content" not in plan and "Exchange" not in plan and "MapInArrow" not in plan
-    assert plan.count("Scan") == 1
+    assert "content" not in plan and "Exchange" not in plan and "Scan" not in plan
+    assert plan.count("MapInArrow") == plan.count("Range (0") == 1
+
+
+@pytest.mark.parametrize("name", ["hang_clusters", "plugin_hang_median", "top_plugin_stacks", "all_reports"])
+def test_files_are_read_once(spark, sf_dir, name):
+    """What an analysis shuffles twice is one shuffle over files as well."""
+    lines = hs.read_lines(spark, layout(spark, sf_dir, "lzma"))
+    plan = final_plan(getattr(hs, name)(hs.read_reports(lines)))
+    assert plan.count("MapInArrow") == 1
+    assert len(re.findall(r"AS _report#", plan)) == 1
 
 
 def test_missing_root_is_an_error(spark, tmp_path):
@@ -378,7 +389,7 @@ def test_memory_does_not_follow_the_size_of_a_file(tmp_path):
     script = f"""
 import resource
 from pyarrow import fs
-from hangstats.sources.line_source import part_lines
+from hangstats.sources.lines import part_lines
 from hangstats.sources.listing import FilePart
 files = fs.LocalFileSystem()
 def peak():
