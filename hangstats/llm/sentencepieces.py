@@ -29,8 +29,8 @@ from hangstats.llm.common import id_and_text, map_rows
 SPACE = "▁"
 #: Letters of the Latin script; everything else but the space mark counts as the other class.
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
-#: Cuts of up to so many characters are remembered, up to so many of each process.
-_KEPT_LENGTH, _KEPT = 40, 60_000
+#: Cuts of up to so many characters are remembered, up to so many of each process, and so many pairs: some 100 MB.
+_KEPT_LENGTH, _KEPT, _KEPT_PAIRS = 40, 200_000, 300_000
 
 
 class PieceCodec:
@@ -92,7 +92,7 @@ class PieceCodec:
         key = (left, right)
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) >= _KEPT:
+            if len(self.pairs) >= _KEPT_PAIRS:
                 self.pairs.clear()
             found = self.pairs[key] = self._merge(left + right) == [left, right]
         return found
