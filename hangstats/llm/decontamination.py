@@ -1,7 +1,8 @@
 """Benchmark passages in training texts, found by spaced seeds.
 
 A mask fixes which words of a span take part in a hash, so a changed word
-outside of it does no harm; several masks leave out different places. Hashes of
+outside of it does no harm; several masks leave out different places, so that no
+choice of as many changed words as are allowed spoils all of them. Hashes of
 the benchmark, in blocks of bounded size, are looked up by the hashes at every
 word of every text. Around each hit the text is laid on the benchmark passage
 word by word and the stretch in which enough words agree is measured.
@@ -9,6 +10,8 @@ word by word and the stretch in which enough words agree is measured.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -20,15 +23,15 @@ from pyspark.sql import functions as F
 from hangstats.llm.common import encoded, filter_rows, id_and_text, map_rows
 from hangstats.llm.words import Lookup, Words, mixed, words_of
 
-#: 1: the word takes part. Eight of twelve words each.
-MASKS = ("111010110111", "110111011011", "101101111101")
 #: A text is contaminated by a stretch of so many words (or the whole passage, if shorter) of which so many agree.
 LEAST_WORDS, LEAST_PART = 13, 0.8
+#: 1: the word takes part. Wherever two of 13 words differ, one of these misses both in at least one place, so every
+#: stretch that counts is hit (the tests try all places).
+MASKS = ("111110101", "1010011111", "11101010011")
 #: Words of benchmark passages in one block: about 24 bytes for each mask and word are sent to the tasks.
 BLOCK_WORDS = 1_000_000
 
-_SPAN = len(MASKS[0])
-_WEIGHTS = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, (len(MASKS), _SPAN), dtype=np.uint64) * np.uint64(
+_WEIGHTS = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, LEAST_WORDS, dtype=np.uint64) * np.uint64(
     2
 ) + np.uint64(1)
 
@@ -37,50 +40,59 @@ def _words(texts: list[str | None]) -> Words:
     return words_of(encoded([(text or "").lower() for text in texts]))
 
 
-def seed_hashes(hashes: np.ndarray, mask: int) -> np.ndarray:
-    """The hash of the masked words from each word on, for all places where the whole span fits."""
-    count = len(hashes) - _SPAN + 1
+def masks_for(size: int) -> list[str]:
+    """The masks that find a passage of ``size`` words.
+
+    A passage shorter than a stretch is laid down as a whole and has masks of
+    its own length: its words are dealt to two groups more than words may
+    differ, and each mask leaves out as many groups as words may differ.
+    """
+    if size >= LEAST_WORDS:
+        return list(MASKS)
+    if not size:
+        return []
+    free = size - math.ceil(LEAST_PART * size)
+    groups = free + 2 if free else 1
+    return [
+        "".join("0" if i % groups in out else "1" for i in range(size))
+        for out in itertools.combinations(range(groups), free)
+    ]
+
+
+def seed_hashes(hashes: np.ndarray, mask: str) -> np.ndarray:
+    """The hash of the masked words from each word on, for all places where the whole mask fits."""
+    count = len(hashes) - len(mask) + 1
     total = np.zeros(max(count, 0), dtype=np.uint64)
     if count > 0:
-        for i, bit in enumerate(MASKS[mask]):
+        for i, bit in enumerate(mask):
             if bit == "1":
-                total += hashes[i : i + count] * _WEIGHTS[mask, i]
+                total += hashes[i : i + count] * _WEIGHTS[i]
     return mixed(total)
 
 
-def run_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
-    """The hash of ``size`` (less than a span) whole words from each word on."""
-    count = len(hashes) - size + 1
-    total = np.zeros(max(count, 0), dtype=np.uint64)
-    for i in range(size if count > 0 else 0):
-        total += hashes[i : i + count] * _WEIGHTS[0, i]
-    return mixed(total + np.uint64(size))
-
-
 class Block(NamedTuple):
-    """Seeds of some benchmark passages. ``tables``: (mask or -size, sorted hashes, passage and place of each)."""
+    """Seeds of some benchmark passages. ``tables``: (mask, sorted hashes, passage and place of each)."""
 
     items: np.ndarray
     words: np.ndarray
     first: np.ndarray
-    tables: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]
+    tables: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]
 
 
 def block_of(items: list[tuple[int, str | None]]) -> Block:
-    """Index a bounded list of passages; those without words match nothing. Shorter ones than a span match whole."""
+    """Index a bounded list of passages; those without words match nothing."""
     words = _words([text for _, text in items])
-    parts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+    parts: dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
     for i in range(len(items)):
         own = words.hashes[words.first[i] : words.first[i + 1]]
-        keys = range(len(MASKS)) if len(own) >= _SPAN else [-len(own)] if len(own) else []
-        for key in keys:
-            found = seed_hashes(own, key) if key >= 0 else run_hashes(own, -key)
-            parts.setdefault(key, []).append((found, np.full(len(found), i), np.arange(len(found))))
+        for mask in masks_for(len(own)):
+            found = seed_hashes(own, mask)
+            parts.setdefault(mask, []).append((found, np.full(len(found), i), np.arange(len(found))))
     tables = []
-    for key, found in sorted(parts.items()):
+    for mask, found in sorted(parts.items()):
         hashes, passage, place = (np.concatenate(c) for c in zip(*found, strict=True))
         order = np.argsort(hashes, kind="stable")
-        tables.append((key, hashes[order], passage[order], place[order]))
+        tables.append((mask, hashes[order], passage[order], place[order]))
     ids = np.array([i if i is not None else -1 for i, _ in items], dtype=np.int64)
     return Block(ids, words.hashes, words.first, tables)
 
@@ -123,13 +135,12 @@ class Scanner:
     def _laid(self, words: Words) -> np.ndarray:
         """(text, passage, difference of positions) of all hits, each once."""
         found = [np.empty((0, 3), dtype=np.int64)]
-        for (key, hashes, passage, place), lookup in zip(self.block.tables, self.lookups, strict=True):
-            size = _SPAN if key >= 0 else -key
-            at, entry = lookup.hits(seed_hashes(words.hashes, key) if key >= 0 else run_hashes(words.hashes, size))
+        for (mask, hashes, passage, place), lookup in zip(self.block.tables, self.lookups, strict=True):
+            at, entry = lookup.hits(seed_hashes(words.hashes, mask))
             if not len(at):
                 continue
             text = np.searchsorted(words.first, at, side="right") - 1
-            inside = at + size <= words.first[text + 1]
+            inside = at + len(mask) <= words.first[text + 1]
             at, text, wanted = at[inside], text[inside], lookup.hashes[entry[inside]]
             low, high = np.searchsorted(hashes, wanted), np.searchsorted(hashes, wanted, side="right")
             counts = high - low
@@ -173,8 +184,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Each (document, passage) with a shared stretch; of several, the longest, then the first.
 
     Only contaminated documents have rows. NULL and empty texts and passages
-    match nothing; rows repeated in ``docs`` give repeated rows; an empty
-    benchmark gives an empty result. Each block of the benchmark is one pass.
+    match nothing; rows repeated in ``docs`` give repeated rows, NULL document ids
+    stay NULL, a passage without an id has item_id -1; an empty benchmark gives
+    an empty result. Each block of the benchmark is one pass.
     """
     rows = id_and_text(docs)
     out = None

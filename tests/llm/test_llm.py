@@ -1,6 +1,7 @@
 """Text operators against brute force: odd rows, small tables, and the contract's columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -281,6 +282,71 @@ def test_decontamination(spark, docs, nothing):
     assert decontamination.contaminated(nothing, bench).count() == 0
 
 
+@pytest.mark.parametrize("size", range(1, 17))
+def test_every_allowed_change_is_found(size):
+    """All choices of words that may differ in a passage, and one more of them where that is too many."""
+    free = min(size, 13) - int(np.ceil(0.8 * min(size, 13)))
+    passage = [f"p{i}" for i in range(size)]
+    scanner = decontamination.Scanner(decontamination.block_of([(7, " ".join(passage))]))
+    for changed in itertools.combinations(range(size), free):
+        text = ["new" if i in changed else word for i, word in enumerate(passage)]
+        (found,) = scanner.overlaps(["lead in " + " ".join(text) + " and out"])
+        assert found.start + found.words <= 2 + size and found.words >= min(size, 13)
+    if size <= 13:
+        for changed in itertools.combinations(range(size), free + 1):
+            assert not scanner.overlaps([" ".join("new" if i in changed else w for i, w in enumerate(passage))])
+
+
+def brute_contaminated(texts, items):
+    """Every text and passage that agree enough in some stretch, all places tried."""
+    out = set()
+    for doc_id, text in texts:
+        own = re.findall(r"\w+", (text or "").lower())
+        for item_id, passage in items:
+            words = re.findall(r"\w+", (passage or "").lower())
+            size = min(13, len(words))
+            agreeing = [
+                sum(own[i + k] == words[j + k] for k in range(size))
+                for i in range(len(own) - size + 1)
+                for j in range(len(words) - size + 1)
+            ]
+            if size and max(agreeing, default=0) >= 0.8 * size:
+                out.add((doc_id, item_id))
+    return out
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(60)]
+
+    def prose(n):
+        return [rng.choice(vocabulary) for _ in range(n)]
+
+    passages = [prose(rng.choice([1, 3, 5, 6, 8, 10, 12, 13, 14, 20, 31])) for _ in range(30)] + [["of"] * 14, []]
+    texts = []
+    for doc_id in range(120):
+        own = prose(rng.randrange(60))
+        if rng.random() < 0.8:
+            part = list(rng.choice(passages))
+            for _ in range(rng.randrange(5)):
+                if part:
+                    part[rng.randrange(len(part))] = rng.choice(vocabulary)
+            cut = rng.randrange(1 + len(part) // 3)
+            own[len(own) // 2 : len(own) // 2] = part[cut:]
+        texts.append((doc_id, " ".join(own)))
+    texts += [(900, None), (901, "of " * 40), (902, " ".join(prose(30_000) + passages[0] + passages[9]))]
+    items = [(i, " ".join(words)) for i, words in enumerate(passages)] + [(800, None)]
+    frame = spark.createDataFrame(texts, "doc_id bigint, text string").withColumn("item_id", F.lit("clashing"))
+    bench = spark.createDataFrame(items, "item_id bigint, text string").withColumn("doc_id", F.lit("clashing"))
+    found = [(r.doc_id, r.item_id) for r in decontamination.contaminated(frame, bench).collect()]
+    assert len(found) == len(set(found))
+    short = [(i, t) for i, t in texts if i != 902]
+    assert {pair for pair in found if pair[0] != 902} == brute_contaminated(short, items)
+    assert (902, 0) in found and (902, 9) in found
+    kept = {r.doc_id for r in decontamination.without_contaminated(frame, bench).collect()}
+    assert kept == {i for i, _ in texts} - {i for i, _ in found}
+
+
 def area_under_curve(labels, scores):
     good, bad = ([s for s, v in zip(scores, labels) if v == k] for k in (1, 0))
     return np.mean([(g > b) + (g == b) / 2 for g in good for b in bad])
