@@ -2,10 +2,12 @@
 
 Each template is a short notice. The words of all templates form a bounded
 vocabulary; how many documents hold each of them is counted over the whole
-table. A text is looked up by the rarest of these words that it has: their
-postings (template, position), set against the positions in the text, vote for
-a place of a template. A place with enough votes is compared word by word and
-counts if enough of the template stands there and its key phrases do.
+table. A text whose key phrases allow a template is looked up by the rarest
+words of that template that it has: their postings (template, position), set
+against the positions in the text, vote for a place. A place with enough votes
+is compared word by word and counts if enough of the template stands there and
+its key phrases do. So many words of each template vote that no place that
+counts lacks votes, however many notices a text has.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -80,10 +83,15 @@ _KEYS = {name: [tuple(p.split()) for p in phrases] for name, (_, phrases) in TEM
 _NEEDED = [*_BASE, *{words for phrases in _KEYS.values() for words in phrases}]
 VOCABULARY = frozenset(word for words in _SPLIT.values() for word in words)
 
-#: So many of a text's rarest licence words are looked up; a place needs so many votes and so much of the template.
+#: At least so many of a template's rarest words are looked up; a place needs so many votes and so much of the template.
 RARE_WORDS, LEAST_VOTES, LEAST_PART = 8, 2, 0.8
 
 
+def words_looked_up(size: int) -> int:
+    """So many that enough are left to vote when as many words of the template are missing as may be."""
+    return max(RARE_WORDS, size - math.ceil(LEAST_PART * size) + LEAST_VOTES)
+
+
 def words_in(text: str | None) -> list[str]:
     return _WORD.findall((text or "").translate(_LOWER))
 
@@ -139,34 +147,49 @@ class LicenseIndex:
 
     def __init__(self, frequencies: dict[str, int], n_docs: int):
         self.idf = {w: math.log((1 + n_docs) / (1 + frequencies.get(w, 0))) for w in VOCABULARY}
-        self.postings: dict[str, list[tuple[str, int]]] = defaultdict(list)
+        self.postings: dict[str, dict[str, list[int]]] = {name: defaultdict(list) for name in _SPLIT}
         for name, words in _SPLIT.items():
             for at, word in enumerate(words):
-                self.postings[word].append((name, at))
+                self.postings[name][word].append(at)
+        self.by_rarity = {
+            name: sorted(found, key=lambda w: (-self.idf[w], w)) for name, found in self.postings.items()
+        }
+
+    def votes(self, name: str, places: dict[str, list[int]]) -> Counter[int]:
+        """How many of the rarest words of a template speak for each start of it."""
+        rare = [word for word in self.by_rarity[name] if word in places][: words_looked_up(len(_SPLIT[name]))]
+        return Counter(at - place for word in rare for place in self.postings[name][word] for at in places[word])
 
     def matches(self, places: dict[str, list[int]]) -> list[tuple[str, int, float]]:
-        """(template, start, part of its words in place) of the best accepted place of each template."""
-        rare = sorted(places, key=lambda w: (-self.idf[w], w))[:RARE_WORDS]
-        votes: Counter[tuple[str, int]] = Counter()
-        for word in rare:
-            for at in places[word]:
-                for name, place in self.postings[word]:
-                    votes[name, at - place] += 1
-        keys = {name: [phrase_starts(places, key) for key in phrases] for name, phrases in _KEYS.items()}
-        at_word = {at: word for word, found in places.items() for at in found}
-        best: dict[str, tuple[float, int]] = {}
-        for (name, start), n in votes.items():
-            template = _SPLIT[name]
-            low, high = start - 2, start + len(template) + 2
-            if n < LEAST_VOTES or not all(any(low <= k < high for k in found) for found in keys[name]):
+        """(template, start, part of its words in place) of the best accepted place of each template.
+
+        Of places with the same part the one with most votes is best, then the first.
+        """
+        at_word: dict[int, str] = {}
+        out = []
+        for name, template in _SPLIT.items():
+            keys = [phrase_starts(places, key) for key in _KEYS[name]]
+            if not all(keys):
                 continue
-            # A missing or added word shifts what follows, so neighbouring starts count too.
-            in_place = sum(
-                any(at_word.get(start + i + shift) == word for shift in (0, -1, 1)) for i, word in enumerate(template)
-            )
-            if in_place / len(template) >= LEAST_PART:
-                best[name] = max(best.get(name, (0.0, 0)), (in_place / len(template), -start))
-        return [(name, -at, part) for name, (part, at) in sorted(best.items())]
+            at_word = at_word or {at: word for word, found in places.items() for at in found}
+            votes, best = self.votes(name, places), None
+            for start in {voted + shift for voted in votes for shift in (0, -1, 1)}:
+                # A missing or added word shifts what follows, so neighbouring starts count too.
+                if votes[start - 1] + votes[start] + votes[start + 1] < LEAST_VOTES:
+                    continue
+                low, high = start - 2, start + len(template) + 2
+                if not all(bisect_left(found, low) < bisect_left(found, high) for found in keys):
+                    continue
+                in_place = sum(
+                    any(at_word.get(start + i + shift) == word for shift in (0, -1, 1))
+                    for i, word in enumerate(template)
+                )
+                part = in_place / len(template)
+                if part >= LEAST_PART and (best is None or (part, votes[start], -start) > best):
+                    best = part, votes[start], -start
+            if best:
+                out.append((name, -best[2], best[0]))
+        return sorted(out)
 
 
 SCHEMA = (
