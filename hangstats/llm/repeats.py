@@ -232,8 +232,12 @@ def _settled(entries: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _with_runs(texts: DataFrame, runs: DataFrame) -> DataFrame:
-    """Texts that have runs to look at, each with its own; the list of a text is bounded by its length."""
-    listed = runs.groupBy("doc_id", "th").agg(F.collect_list(F.struct("s_lo", "s_hi", "t")).alias("runs"))
+    """Texts that have runs to look at, each with its own.
+
+    Equal rows have equal runs, which are listed once, so the list of a text is
+    bounded by its length: three numbers for a window start at most.
+    """
+    listed = runs.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s_lo", "s_hi", "t")).alias("runs"))
     listed = listed.select(F.col("doc_id").alias("run_id"), F.col("th").alias("run_th"), "runs")
     same = texts["doc_id"].eqNullSafe(listed["run_id"]) & (texts["th"] == listed["run_th"])
     return texts.join(listed, same).select("doc_id", "th", "text", "runs")
@@ -267,6 +271,15 @@ def spans_of(low: np.ndarray, high: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(low[first].tolist(), high[last].tolist() if len(low) else [], strict=True))
 
 
+def with_windows(texts: DataFrame, windows: DataFrame) -> DataFrame:
+    """Each text once, with its own windows. Equal rows have equal windows, which are listed once."""
+    windows = stage_table(
+        windows.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s_lo", "s_hi")).alias("windows")), "cuts"
+    ).select(F.col("doc_id").alias("cut_id"), F.col("th").alias("cut_th"), "windows")
+    same = texts["doc_id"].eqNullSafe(windows["cut_id"]) & (texts["th"] == windows["cut_th"])
+    return texts.join(windows, same, "left").select("doc_id", "text", "windows")
+
+
 def without_repeats(
     texts: DataFrame,
     windows: DataFrame,
@@ -275,11 +288,7 @@ def without_repeats(
     cut: Callable[[int | None, bytes, list[tuple[int, int]]], tuple],
 ) -> DataFrame:
     """``cut(doc_id, text, spans)`` for each text; each text travels once, to its own windows."""
-    windows = stage_table(
-        windows.groupBy("doc_id", "th").agg(F.collect_list(F.struct("s_lo", "s_hi")).alias("windows")), "cuts"
-    ).select(F.col("doc_id").alias("cut_id"), F.col("th").alias("cut_th"), "windows")
-    same = texts["doc_id"].eqNullSafe(windows["cut_id"]) & (texts["th"] == windows["cut_th"])
-    rows = texts.join(windows, same, "left").select("doc_id", "text", "windows")
+    rows = with_windows(texts, windows)
     names = [part.split()[0] for part in schema.split(", ")]
 
     def work(table: pa.Table) -> dict[str, list]:

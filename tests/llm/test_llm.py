@@ -15,13 +15,14 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hangstats.llm import decontamination, fingerprints, quality, queries, simhash, toxicity
+from hangstats.llm import decontamination, fingerprints, licenses, quality, queries, simhash, toxicity
 from hangstats.llm.components import components
 from hangstats.llm.licenses import scan_licenses
 from hangstats.llm.personal_data import find_spans, luhn, mod97, personal_data, redacted
+from hangstats.llm.repeats import repeated_windows, with_windows
 from hangstats.llm.sampling import sample_ids
 from hangstats.llm.sentencepieces import codec, encode_documents
-from hangstats.llm.substring_dedup import remove_repeated_words
+from hangstats.llm.substring_dedup import parse_words, remove_repeated_words
 from hangstats.llm.suffix_dedup import remove_repeated_bytes
 
 MODEL = public_tokenizers.path(queries.TOKENIZER)
@@ -100,6 +101,17 @@ def test_repeated_bytes(docs, rows, nothing):
     assert remove_repeated_bytes(nothing).count() == 0
 
 
+def test_many_equal_rows_list_their_windows_once(spark):
+    """Rows that agree in id and text: their windows are listed once, not once for each row."""
+    text = " ".join(f"w{i}" for i in range(90))
+    frame = spark.createDataFrame([(5, text)] * 3000 + [(6, f"more {text}")], "doc_id bigint, text string")
+    texts, windows = repeated_windows(frame, parse_words, 35, 8)
+    listed = with_windows(texts, windows).groupBy(F.size("windows").alias("n")).count().collect()
+    assert sum(r["count"] for r in listed) == 3001 and max(r.n for r in listed) <= 90
+    found = collected(remove_repeated_words(frame).select("doc_id", "n_removed"))
+    assert found == Counter({(5, 90): 3000, (6, 90): 1})
+
+
 def brute_simhash(text):
     words = (text or "").encode().lower().split()
     shingles = [b" ".join(words[i : i + 3]) for i in range(max(len(words) - 2, bool(words)))]
@@ -221,6 +233,55 @@ def test_licenses(spark, nothing):
     assert scan_licenses(nothing).count() == 0
 
 
+def brute_labels(text):
+    """The templates of which enough words stand near their place at any start, by all starts of the text."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
+    out = set()
+    for name, (notice, phrases) in licenses.TEMPLATES.items():
+        wanted = notice.split()
+        for start in range(-len(wanted), len(words) + 1):
+            near = range(max(start - 2, 0), start + len(wanted) + 2)
+            keys = [p.split() for p in phrases]
+            if all(any(words[k : k + len(key)] == key for k in near) for key in keys):
+                held = sum(w in words[max(start + i - 1, 0) : max(start + i + 2, 0)] for i, w in enumerate(wanted))
+                out |= {name} if held >= 0.8 * len(wanted) else set()
+    return out
+
+
+def test_no_notice_hides_another(spark):
+    """Texts with all notices, with pairs of them, with words missing or added, and very long ones."""
+    rng = random.Random(9)
+    notices = [notice for notice, _ in licenses.TEMPLATES.values()]
+    texts = [" ; ".join(notices), "x " + " the of to and license ".join(notices[::-1])]
+    texts += [f"{a}. {b}" for a, b in itertools.permutations(notices, 2)]
+    for _ in range(150):
+        words = rng.choice(notices).split()
+        for _ in range(rng.randrange(6)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randrange(2)] = [rng.choice(["the", "of", "zebra"])] * rng.randrange(2)
+            words = words or ["none"]
+        texts.append(" ".join(words + rng.choice(notices).split()))
+    filler = " ".join(rng.choice("the of license version work tree".split()) for _ in range(3000))
+    texts += [f"{filler} {notices[1]} {filler}"]
+    rows = [*enumerate(texts), (None, texts[0]), (3, texts[3])]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("labels", F.lit("clashing"))
+    found = scan_licenses(frame).select("doc_id", "labels", "matches").collect()
+    assert len(found) == len(rows)
+    assert sum(r.doc_id is None for r in found) == 1 and sum(r.doc_id == 3 for r in found) == 2
+    for row in found:
+        text = texts[row.doc_id or 0]
+        assert {m.label for m in row.matches} == brute_labels(text)
+    everything = next(r for r in found if r.doc_id == 0)
+    assert {m.label for m in everything.matches} == set(licenses.TEMPLATES)
+    places, total = {}, 0
+    for name, (notice, _) in licenses.TEMPLATES.items():
+        places[name] = total
+        total += len(notice.split())
+    assert {m.label: m.start for m in everything.matches if m.part == 1.0}.items() >= {
+        (name, places[name]) for name in ("mit", "bsd", "isc", "unlicense")
+    }
+
+
 def brute_spans(text):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
