@@ -1,9 +1,19 @@
-"""Personal data in texts: patterns propose spans, checksums confirm them, words nearby adjust the score."""
+"""Personal data and secrets in texts.
+
+Patterns propose spans, checksums and forms confirm them, words nearby adjust
+the score. Base spans always stay, with their score; spans of the added kinds
+stay if their score suffices, so an unchecked number needs no word against it.
+"""
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
+import json
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,7 +24,9 @@ from hangstats.llm.common import id_and_text, map_rows, text_slices
 
 #: The base kinds in the order they are listed, then those this method adds.
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "ssn")
+KINDS = (*BASE, "iban", "ssn", "key", "token", "secret")
+#: Added kinds below this score are no spans.
+LEAST_SCORE = 0.5
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -24,25 +36,53 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
-_DIGIT = re.compile(r"[0-9]")
+_DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+_KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?-----")
+_KEY_END = re.compile(r"-----END (?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?-----")
+#: The published forms of access tokens.
+_TOKEN = re.compile(
+    r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|AIza[A-Za-z0-9_-]{35}|gh[oprsu]_[A-Za-z0-9]{36}|"
+    r"github_pat_[A-Za-z0-9_]{40,}+|glpat-[A-Za-z0-9_-]{20,}+|[rs]k_(?:live|test)_[A-Za-z0-9]{16,}+|"
+    r"xox[abeoprs]-[A-Za-z0-9-]{10,}+|eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++)(?![A-Za-z0-9_-])"
+)
+_SECRET = re.compile(
+    r"(?<![A-Za-z0-9])(?:password|passwd|pwd|passphrase|secret|token|(?:api|access|private|secret)[_-]?key)"
+    r"[\"']?[\x20\t]{0,4}(?:=>|:=|=|:)[\x20\t]{0,4}[\"']?([A-Za-z0-9!@#$%^&*+/=_.~-]{8,}+)",
+    re.I,
+)
+_SECRET_NAMES = ("passw", "pwd", "passphrase", "secret", "token", "key")
+#: Bits a character of a secret has at least.
+_LEAST_ENTROPY = 2.75
 
 #: Score of a confirmed span before its context is seen.
-_START = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.5}
+_START = {
+    "email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.5, "key": 1.0, "token": 0.8, "secret": 0.6
+}
 _REACH, _STEP = 40, 0.2
+
+
+def _whole(words: str) -> re.Pattern[str]:
+    return re.compile(rf"(?<![^\W\d_])(?:{words})(?![^\W\d_])", re.I)
+
+
 #: Words that speak for a kind, or against it.
 _FOR = {
-    "email": re.compile(r"mail|contact|write|kontakt|correo|courriel", re.I),
-    "ip": re.compile(r"\bip\b|address|host|server|adresse", re.I),
-    "card": re.compile(r"card|visa|credit|payment|karte|carte|tarjeta", re.I),
-    "phone": re.compile(r"phone|call|tel|mobile|fax|anruf|llama", re.I),
-    "iban": re.compile(r"iban|account|bank|konto|compte|cuenta", re.I),
-    "ssn": re.compile(r"ssn|social|security", re.I),
+    "email": _whole("e?-?mails?|contact|write|kontakt|correo|courriel"),
+    "ip": _whole("ip|address|hosts?|servers?|adresse"),
+    "card": _whole("cards?|visa|mastercard|credit|payments?|kreditkarte|karte|carte|tarjeta"),
+    "phone": _whole("(?:tele)?phones?|call|tel|mobile|fax|anruf|llama|telefon|téléphone|teléfono"),
+    "iban": _whole("iban|account|bank|konto|compte|cuenta"),
+    "ssn": _whole("ssn|social|security"),
+    "token": _whole("tokens?|keys?|secret|authorization|bearer|credentials?"),
+    "secret": _whole("credentials?|login|export|env|config|authorization"),
 }
 _AGAINST = {
-    "ip": re.compile(r"version|release|\bv$", re.I),
-    "card": re.compile(r"isbn|order|serial|invoice", re.I),
-    "phone": re.compile(r"isbn|serial|invoice", re.I),
-    "ssn": re.compile(r"part|serial|order|model", re.I),
+    "ip": _whole("version|release|v"),
+    "card": _whole("isbn|order|serial|invoice"),
+    "phone": _whole("isbn|serial|invoice"),
+    "ssn": _whole("parts?|serial|order|model"),
+    "token": _whole("example|sample|dummy|fake"),
+    "secret": _whole("example|sample|dummy|fake|placeholder"),
 }
 
 Span = tuple[str, int, int, float]
@@ -65,6 +105,58 @@ def mod97(account: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+_BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def token_checks(token: str) -> bool | None:
+    """Whether the checksum or header inside of a token is right; None for forms that have neither."""
+    if token[:2] == "gh" and token[3] == "_":
+        value = binascii.crc32(token[4:-6].encode())
+        return token[-6:] == "".join(_BASE62[value // 62**i % 62] for i in reversed(range(6)))
+    if token.startswith("eyJ"):
+        head = token.split(".")[0]
+        try:
+            return "alg" in json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
+        except (ValueError, TypeError, RecursionError):
+            return False
+    return None
+
+
+def entropy(value: str) -> float:
+    """Bits for each character, by the frequencies in the value itself."""
+    return -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
+
+
+def _keys(text: str) -> Iterator[tuple[int, int]]:
+    """Private key blocks; without an end, the first line alone."""
+    done, more = 0, True
+    for m in _KEY.finditer(text):
+        if m.start() < done:
+            continue
+        end = _KEY_END.search(text, m.end()) if more else None
+        more = end is not None
+        done = end.end() if end else m.end()
+        yield m.start(), done
+
+
+def _secrets(text: str) -> Iterator[tuple[str, int, int, float]]:
+    """Keys, tokens and named secrets with what their form adds to the score."""
+    if "-----BEGIN " in text:
+        for start, end in _keys(text):
+            yield "key", start, end, 0.0
+    for m in _TOKEN.finditer(text):
+        checks = token_checks(m.group())
+        # Three parts with dots say little without a header; a prefix of its own says much even so.
+        wrong = -2 * _STEP if m.group().startswith("eyJ") else -_STEP
+        yield "token", m.start(), m.end(), 0.0 if checks is None else _STEP if checks else wrong
+    lowered = text.lower()
+    if ("=" in text or ":" in text) and any(name in lowered for name in _SECRET_NAMES):
+        for m in _SECRET.finditer(text):
+            value = m.group(1)
+            mixed = _DIGIT.search(value) and _LETTER.search(value) and entropy(value) >= _LEAST_ENTROPY
+            yield "secret", m.start(1), m.end(1), _STEP if mixed else -2 * _STEP
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """Matches of the pattern from the left, looked for around each ``@`` only."""
     done, at = 0, text.find("@")
@@ -110,15 +202,18 @@ def _proposals(text: str) -> Iterator[tuple[str, int, int]]:
 
 def find_spans(text: str | None) -> list[Span]:
     """(kind, start, end, score) in code points, by kind as listed, then start."""
+    text = text or ""
     out = []
-    for kind, start, end in _proposals(text or ""):
+    for kind, start, end, added in [*((*p, 0.0) for p in _proposals(text)), *_secrets(text)]:
         before, after = text[max(0, start - _REACH) : start], text[end : end + _REACH]
-        score = _START[kind]
-        if _FOR[kind].search(before) or _FOR[kind].search(after):
+        score = _START[kind] + added
+        if kind in _FOR and (_FOR[kind].search(before) or _FOR[kind].search(after)):
             score += _STEP
         if kind in _AGAINST and _AGAINST[kind].search(before):
             score -= _STEP
-        out.append((kind, start, end, round(min(1.0, score), 3)))
+        score = round(min(1.0, max(0.0, score)), 3)
+        if kind in BASE or score >= LEAST_SCORE:
+            out.append((kind, start, end, score))
     return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
@@ -146,19 +241,22 @@ def _joined(spans: list[Span]) -> str:
 
 SCHEMA = (
     "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, "
-    "scores array<double>"
+    "n_spans bigint, scores array<double>"
 )
 
 
+SCHEMA_NAMES = [part.split()[0] for part in SCHEMA.split(", ")][1:]
+
+
 def personal_data(docs: DataFrame) -> DataFrame:
-    """Spans of every whole text with their scores.
+    """Spans of every whole text, of base and added kinds, with their number and scores.
 
     A row for each row of ``docs``. NULL and empty texts have no spans and the
     digest of the empty string; repeated rows and NULL ids stay.
     """
 
     def work(table: pa.Table) -> dict[str, list]:
-        out: dict[str, list] = {name: [] for name in (*(f"n_{k}" for k in BASE), "base_sha256", "spans", "scores")}
+        out: dict[str, list] = {name: [] for name in SCHEMA_NAMES}
         for text in table.column("text").to_pylist():
             spans = find_spans(text)
             base = [s for s in spans if s[0] in BASE]
@@ -166,6 +264,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
                 out[f"n_{kind}"].append(sum(s[0] == kind for s in base))
             out["base_sha256"].append(hashlib.sha256(_joined(base).encode()).hexdigest())
             out["spans"].append(_joined(spans))
+            out["n_spans"].append(len(spans))
             out["scores"].append([s[3] for s in spans])
         return out | {"doc_id": table.column("doc_id").to_pylist()}
 

@@ -62,7 +62,8 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal_data(read_table(spark, sf_dir, "documents")).drop("scores")
+    found = personal_data(read_table(spark, sf_dir, "documents"))
+    return found.withColumn("scores", F.concat_ws(",", F.col("scores").cast("array<string>")))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
