@@ -36,5 +36,10 @@ def sample_ids(rows: DataFrame, most: int) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The documents of a bounded sample; the sample, not the texts, goes to all tasks."""
-    return docs.join(F.broadcast(chosen), "doc_id")
+    """The rows of a bounded sample, each with a text: of an id that stands in several documents, the least.
+
+    So there are at most as many rows as the sample has. The sample, not the
+    texts, goes to all tasks; of equal ids each task passes on one text.
+    """
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy(*chosen.columns).agg(F.min("text").alias("text"))
