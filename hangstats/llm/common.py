@@ -37,13 +37,21 @@ def _shuffle_files_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_CLEANUP, before)
 
 
-def stage_table(frame: DataFrame, label: str) -> DataFrame:
-    """Write a frame once to the shared folder and read it back: later jobs do not repeat its lineage."""
+def staged(frame: DataFrame, label: str) -> tuple[DataFrame, Callable[[], None]]:
+    """Write a frame once to the shared folder and read it back; and a call that deletes what was written.
+
+    Later jobs do not repeat its lineage. Delete it only when all that reads it has been written itself.
+    """
     spark = frame.sparkSession
-    path = f"{shared_dir(spark)}/hangstats-llm-{label}-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, label)
     with _shuffle_files_dropped(spark):
         frame.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    return spark.read.schema(frame.schema).parquet(path), lambda: drop_folder(spark, path)
+
+
+def stage_table(frame: DataFrame, label: str) -> DataFrame:
+    """A staged frame that stays: what is returned to the caller reads it."""
+    return staged(frame, label)[0]
 
 
 def scratch_folder(spark: SparkSession, label: str) -> str:

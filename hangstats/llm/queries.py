@@ -134,6 +134,33 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(kept, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN counted USING (doc_id)
     """,
+    "op8_suffix_dedup": r"""
+        WITH d AS (
+          SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+        ), windows AS (
+          SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS k
+          FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 399)) AS i FROM d)
+        ), again AS (
+          SELECT doc_id, i FROM windows JOIN (SELECT k FROM windows GROUP BY k HAVING count(*) > 1) USING (k)
+        ), edges AS (
+          SELECT doc_id, i, sum((i > coalesce(reach, -1))::INT) OVER (PARTITION BY doc_id ORDER BY i) AS span
+          FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 AS reach FROM again)
+        ), spans AS (
+          SELECT doc_id, span, min(i) AS low, max(i) + 400 AS high FROM edges GROUP BY doc_id, span
+        ), gaps AS (
+          SELECT doc_id, coalesce(lag(high) OVER o, 0) AS low, low AS high FROM spans WINDOW o AS (PARTITION BY doc_id ORDER BY low)
+          UNION ALL
+          SELECT doc_id, coalesce(max(high), 0), any_value(length(h)) // 2 FROM d LEFT JOIN spans USING (doc_id) GROUP BY doc_id
+        ), kept AS (
+          SELECT doc_id, string_agg(substr(h, 2 * low + 1, 2 * (high - low)), '' ORDER BY low) AS kept
+          FROM gaps JOIN d USING (doc_id) GROUP BY doc_id
+        ), counted AS (
+          SELECT doc_id, sum(high - low) AS n, count(*) AS s FROM spans GROUP BY doc_id
+        )
+        SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed,
+               coalesce(s, 0)::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256
+        FROM d JOIN kept USING (doc_id) LEFT JOIN counted USING (doc_id)
+    """,
     "op11_collocations": r"""
         WITH piece AS (
           SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hangstats.llm.common import encoded, id_and_text, map_rows, stage_table
+from hangstats.llm.common import encoded, id_and_text, map_rows, stage_table, staged
 
 
 class Symbols(NamedTuple):
@@ -214,21 +214,34 @@ def _blocks(rows: DataFrame, parse: Parse, size: int, block: int) -> DataFrame:
     return map_rows(rows, _ENTRY, work)
 
 
-def _settled(entries: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
-    """Entries all of whose windows occur again, and entries that only a finer round can settle."""
+class Settled(NamedTuple):
+    """Entries all of whose windows occur again, entries that only a finer round can settle, and what deletes them."""
+
+    certain: DataFrame
+    open: DataFrame
+    drop_certain: Callable[[], None]
+    drop_kept: Callable[[], None]
+
+
+def _settled(raw: DataFrame, label: str) -> Settled:
+    """One round over its entries; they are deleted when it is done."""
+    entries, drop_entries = staged(raw, label)
     key, row = ["core", "c1", "c2"], ["doc_id", "th", "s_lo", "s_hi", "t"]
     place = F.xxhash64("doc_id", "th", "s_lo", "t")  # tells the entries of a class apart
     classes = entries.groupBy(key).agg(
         F.count("*").alias("n"), F.min(place).alias("least"), *(F.min(c).alias(c) for c in row)
     )
     cores = classes.groupBy("core").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).filter("total > 1")
-    kept = stage_table(classes.join(cores.select("core", "kinds"), "core").filter("n > 1 or kinds > 1"), f"{label}-kept")
+    kept, drop_kept = staged(
+        classes.join(cores.select("core", "kinds"), "core").filter("n > 1 or kinds > 1"), f"{label}-kept"
+    )
     twice = kept.filter("n > 1").select(*key, "least", (F.col("kinds") > 1).alias("open"))
     shown = (F.col("open") & (place == F.col("least"))).alias("shown")
-    certain = stage_table(entries.join(twice, key).select(*row, shown), f"{label}-certain")
+    certain, drop_certain = staged(entries.join(twice, key).select(*row, shown), f"{label}-certain")
+    drop_entries()
     # The only row of a class is its minimum in every column.
     open_ = kept.filter("n = 1").select(*row).unionByName(certain.filter("shown").select(*row))
-    return certain.select(*row), open_
+    return Settled(certain.select(*row), open_, drop_certain, drop_kept)
 
 
 def _with_runs(texts: DataFrame, runs: DataFrame) -> DataFrame:
@@ -244,22 +257,34 @@ def _with_runs(texts: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, parse: Parse, size: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """The texts (``doc_id, text, th``) and their repeated windows (``doc_id, th, s_lo, s_hi``), overlaps included.
+    """The texts (``doc_id, text, th``) and, for those that have some, the list of their repeated windows.
+
+    The list (``doc_id, th, windows``) has each window once, overlaps included;
+    equal rows share one list. It is the only intermediate table that is left.
 
     NULL and empty texts have no windows. A text that stands in several rows is
     repeated as a whole. Rows are told apart by id and text hash, so equal or
     NULL ids do no harm.
     """
     texts = id_and_text(docs).withColumn("th", F.xxhash64("text"))
-    first, open_ = _settled(stage_table(_whole_runs(texts, parse, size), "runs"), "runs")
-    some = stage_table(_with_runs(texts, open_), "texts")
-    second, open_ = _settled(stage_table(_blocks(some, parse, size, block), "blocks"), "blocks")
-    single = stage_table(_blocks(_with_runs(some.drop("runs"), open_), parse, size, 1), "windows")
+    first = _settled(_whole_runs(texts, parse, size), "runs")
+    some, drop_some = staged(_with_runs(texts, first.open), "texts")
+    first.drop_kept()
+    second = _settled(_blocks(some, parse, size, block), "blocks")
+    single, drop_single = staged(_blocks(_with_runs(some.drop("runs"), second.open), parse, size, 1), "windows")
+    second.drop_kept()
+    drop_some()
     twice = single.groupBy("c1", "c2").agg(F.count("*").alias("n")).filter("n > 1").select("c1", "c2")
-    third = single.join(stage_table(twice, "twice"), ["c1", "c2"])
     columns = ["doc_id", "th", "s_lo", "s_hi"]
-    found = first.select(columns).unionByName(second.select(columns)).unionByName(third.select(columns))
-    return texts, found
+    third = single.join(twice, ["c1", "c2"])
+    found = first.certain.select(columns).unionByName(second.certain.select(columns)).unionByName(third.select(columns))
+    # Equal rows have equal windows, which are listed once.
+    listed = stage_table(
+        found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s_lo", "s_hi")).alias("windows")), "cuts"
+    )
+    for drop in (first.drop_certain, second.drop_certain, drop_single):
+        drop()
+    return texts, listed
 
 
 def spans_of(low: np.ndarray, high: np.ndarray) -> list[tuple[int, int]]:
@@ -271,24 +296,22 @@ def spans_of(low: np.ndarray, high: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(low[first].tolist(), high[last].tolist() if len(low) else [], strict=True))
 
 
-def with_windows(texts: DataFrame, windows: DataFrame) -> DataFrame:
-    """Each text once, with its own windows. Equal rows have equal windows, which are listed once."""
-    windows = stage_table(
-        windows.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s_lo", "s_hi")).alias("windows")), "cuts"
-    ).select(F.col("doc_id").alias("cut_id"), F.col("th").alias("cut_th"), "windows")
-    same = texts["doc_id"].eqNullSafe(windows["cut_id"]) & (texts["th"] == windows["cut_th"])
-    return texts.join(windows, same, "left").select("doc_id", "text", "windows")
+def with_windows(texts: DataFrame, listed: DataFrame) -> DataFrame:
+    """Each row of the texts with the windows of its text, NULL if it has none."""
+    listed = listed.select(F.col("doc_id").alias("cut_id"), F.col("th").alias("cut_th"), "windows")
+    same = texts["doc_id"].eqNullSafe(listed["cut_id"]) & (texts["th"] == listed["cut_th"])
+    return texts.join(listed, same, "left").select("doc_id", "text", "windows")
 
 
 def without_repeats(
     texts: DataFrame,
-    windows: DataFrame,
+    listed: DataFrame,
     size: int,
     schema: str,
     cut: Callable[[int | None, bytes, list[tuple[int, int]]], tuple],
 ) -> DataFrame:
     """``cut(doc_id, text, spans)`` for each text; each text travels once, to its own windows."""
-    rows = with_windows(texts, windows)
+    rows = with_windows(texts, listed)
     names = [part.split()[0] for part in schema.split(", ")]
 
     def work(table: pa.Table) -> dict[str, list]:

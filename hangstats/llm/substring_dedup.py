@@ -99,7 +99,7 @@ def remove_repeated_words(docs: DataFrame, size: int = SIZE) -> DataFrame:
     repeated in ``docs`` count as further occurrences; windows do not cross
     texts. ``spans``: the removed ranges in words.
     """
-    texts, windows = repeated_windows(docs, parse_words, size, BLOCK)
+    texts, listed = repeated_windows(docs, parse_words, size, BLOCK)
 
     def cut(doc_id: int | None, data: bytes, spans: list[tuple[int, int]]) -> tuple:
         words, kept, done = data.split(), [], 0
@@ -110,4 +110,4 @@ def remove_repeated_words(docs: DataFrame, size: int = SIZE) -> DataFrame:
         digest = hashlib.sha256(b" ".join(kept)).hexdigest()
         return doc_id, len(words), sum(b - a for a, b in spans), digest, [list(s) for s in spans]
 
-    return without_repeats(texts, windows, size, SCHEMA, cut)
+    return without_repeats(texts, listed, size, SCHEMA, cut)

@@ -103,7 +103,7 @@ def remove_repeated_bytes(docs: DataFrame, size: int = SIZE) -> DataFrame:
     repeated in ``docs`` count as further occurrences; windows do not cross
     texts. ``spans``: the removed ranges in bytes. A cut may split a character.
     """
-    texts, windows = repeated_windows(docs, parse_bytes, size, BLOCK)
+    texts, listed = repeated_windows(docs, parse_bytes, size, BLOCK)
 
     def cut(doc_id: int | None, data: bytes, spans: list[tuple[int, int]]) -> tuple:
         kept, done = hashlib.sha256(), 0
@@ -113,4 +113,4 @@ def remove_repeated_bytes(docs: DataFrame, size: int = SIZE) -> DataFrame:
         kept.update(data[done:])
         return doc_id, len(data), sum(b - a for a, b in spans), len(spans), kept.hexdigest(), [list(s) for s in spans]
 
-    return without_repeats(texts, windows, size, SCHEMA, cut)
+    return without_repeats(texts, listed, size, SCHEMA, cut)

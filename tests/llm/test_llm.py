@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import pathlib
 import random
 import re
 import zlib
@@ -15,12 +16,12 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hangstats.llm import decontamination, fingerprints, licenses, quality, queries, simhash, toxicity
+from hangstats.llm import common, decontamination, fingerprints, licenses, quality, queries, simhash, toxicity
 from hangstats.llm.components import components
 from hangstats.llm.licenses import scan_licenses
 from hangstats.llm.personal_data import find_spans, luhn, mod97, personal_data, redacted
 from hangstats.llm.repeats import repeated_windows, with_windows
-from hangstats.llm.sampling import sample_ids
+from hangstats.llm.sampling import sample_ids, texts_of
 from hangstats.llm.sentencepieces import codec, encode_documents
 from hangstats.llm.substring_dedup import parse_words, remove_repeated_words
 from hangstats.llm.suffix_dedup import remove_repeated_bytes
@@ -101,12 +102,19 @@ def test_repeated_bytes(docs, rows, nothing):
     assert remove_repeated_bytes(nothing).count() == 0
 
 
+def scratch_folders(spark):
+    """Names of the intermediate tables in the shared folder."""
+    folder = pathlib.Path(common.shared_dir(spark).removeprefix("file:"))
+    return {path.name for path in folder.glob("hangstats-llm-*")}
+
+
 def test_many_equal_rows_list_their_windows_once(spark):
     """Rows that agree in id and text: their windows are listed once, not once for each row."""
     text = " ".join(f"w{i}" for i in range(90))
     frame = spark.createDataFrame([(5, text)] * 3000 + [(6, f"more {text}")], "doc_id bigint, text string")
-    texts, windows = repeated_windows(frame, parse_words, 35, 8)
-    listed = with_windows(texts, windows).groupBy(F.size("windows").alias("n")).count().collect()
+    before = scratch_folders(spark)
+    listed = with_windows(*repeated_windows(frame, parse_words, 35, 8)).groupBy(F.size("windows").alias("n")).count().collect()
+    assert [name.split("-")[2] for name in scratch_folders(spark) - before] == ["cuts"]
     assert sum(r["count"] for r in listed) == 3001 and max(r.n for r in listed) <= 90
     found = collected(remove_repeated_words(frame).select("doc_id", "n_removed"))
     assert found == Counter({(5, 90): 3000, (6, 90): 1})
@@ -484,6 +492,15 @@ def test_sample_is_bounded_and_ignores_layout(spark):
     assert sample_ids(ids.limit(30), 500).count() == 30 and sample_ids(ids.filter("false"), 500).count() == 0
 
 
+def test_an_id_in_many_rows_gives_one_text(spark):
+    """Repeated ids in the documents, contradicting and repeated labels: so many rows as the sample has."""
+    docs = spark.range(100_000).select(F.lit(5).cast("long").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(6, None), (6, None), (None, "x"), (8, "no label")], "doc_id bigint, text string"))
+    labels = spark.createDataFrame([(5, 1), (5, 0), (5, 1), (6, 1), (7, 1)], "doc_id bigint, label int")
+    found = [tuple(r) for r in texts_of(docs, sample_ids(labels, 100)).select("doc_id", "label", "text").collect()]
+    assert sorted(found) == [(5, 0, "t0"), (5, 1, "t0"), (6, 1, None)]
+
+
 def test_classifiers_on_odd_tables(spark, docs, rows, nothing):
     labels = spark.createDataFrame([(0, 1, 1), (7, 0, 0), (None, 1, 0), (14, None, None)], "doc_id bigint, quality int, toxic int")
     for module, score in ((toxicity, toxicity.score_toxicity), (quality, quality.score_quality)):
